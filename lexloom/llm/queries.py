@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import bpe, ngram_join
 from .storage import table
 
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count and digests of its ids and of the text decoded from them."""
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS))
+
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its 4-word shingle set and its link component (Jaccard >= 0.85)."""
@@ -16,7 +24,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+    return {
+        "op3_byte_bpe": op3_byte_bpe,
+        "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
