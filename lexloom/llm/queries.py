@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, ngram_join
+from . import bpe, ngram_join, quality_rules, substring_dedup
+from .sql import QUALITY_RULES_SQL
 from .storage import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -18,17 +20,33 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measurements, base verdict and verdict of policy v1."""
+    led = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("failed").bitwiseAND(F.lit(quality_rules.policy_mask("base"))) != 0
+    return quality_rules.apply_policy(led, "v1").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed"
+    )
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its 4-word shingle set and its link component (Jaccard >= 0.85)."""
     return ngram_join.link_components(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, words removed as recurring 35-word passages, and a digest of the rest."""
+    return substring_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_bpe": op3_byte_bpe,
+        "op5_quality_rules": op5_quality_rules,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_substring_dedup": op9_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": QUALITY_RULES_SQL}
