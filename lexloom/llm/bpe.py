@@ -207,6 +207,15 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
     """The ids of each packed list of words: how many each word has, then all of them."""
     coder, ranks = _coder(path), load_ranks(path)
     known: dict[bytes, list[int]] = {}
+    held: list[tuple[int, int, int, bytes]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(types)], ["block", "first", "words", "packed"])
+        held.clear()
+        return out
+
     for batch in batches:
         for row in range(batch.num_rows):
             first = batch.column("first")[row].as_py()
@@ -226,10 +235,13 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
                 flat += ids
             if len(known) > REMEMBERED:
                 known.clear()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block").slice(row, 1), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([_pack(np.array(lens + flat, np.uint32))], pa.binary())],
-                ["block", "first", "words", "packed"],
-            )
+            held.append((batch.column("block")[row].as_py(), first, n, _pack(np.array(lens + flat, np.uint32))))
+            size += len(held[-1][3])
+            if size > 4 << 20:
+                yield flush()
+                size = 0
+    if held:
+        yield flush()
 
 
 def _documents(left: pa.Table, right: pa.Table) -> Iterator[tuple[int | None, pa.Array]]:
