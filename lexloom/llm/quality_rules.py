@@ -29,45 +29,52 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
 
 
-def _repeat_words(words: Column, width: int = WINDOW) -> Column:
+def _bind(value: Column, body) -> Column:
+    """A one-element transform binds an array to a name, so that it is computed once for all lambdas below it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _window_hashes(words: Column) -> Column:
+    """A hash of every run of eight (``WINDOW``) words, by doubling; empty for shorter texts."""
+
+    def double(step: int):
+        return lambda one: F.transform(one, lambda x, i: F.xxhash64(x, F.get(one, i + step)))
+
+    rolled = F.transform(words, lambda w: F.xxhash64(w))
+    for step in (1, 2, 4):
+        rolled = _bind(rolled, double(step))
+    count = F.size(words) - (WINDOW - 1)
+    return F.when(count < 1, F.array().cast("array<bigint>")).otherwise(F.slice(rolled, 1, F.greatest(count, F.lit(1))))
+
+
+def _repeat_words(words: Column, windows: Column, width: int = WINDOW) -> Column:
     """Words inside windows of ``width`` words that start at two or more places of the text.
 
-    Window hashes are sorted with their places; equal neighbours are repeats.  Two independent
-    64-bit hashes make a window's key.  The places, sorted again, give the length of their union.
+    Texts whose window hashes all differ are done.  Otherwise the hashes are sorted with their
+    places; equal neighbours whose words are equal are repeats.  Their places, sorted again,
+    give the length of their union.
     """
-    one = F.transform(words, lambda w: F.xxhash64(w))
-    count = F.size(words) - (width - 1)
-    keyed = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.struct(F.xxhash64(F.slice(one, i + 1, width)).alias("h"), F.hash(F.slice(one, i + 1, width)).alias("g"), i.alias("at")),
-    )
-
-    def repeated(keys: Column) -> Column:
+
+    def places(keys: Column) -> Column:
         def same(x: Column, j: Column) -> Column:
             y = F.get(keys, j)
-            return F.coalesce((y["h"] == x["h"]) & (y["g"] == x["g"]), F.lit(False))
+            return F.coalesce((y["h"] == x["h"]) & (F.slice(words, y["at"] + 1, width) == F.slice(words, x["at"] + 1, width)), F.lit(False))
 
-        return F.filter(keys, lambda x, i: same(x, i - 1) | same(x, i + 1))
+        return F.sort_array(F.transform(F.filter(keys, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["at"]))
 
-    # A one-element transform binds each array to a name, so that it is computed once.
-    def bind(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
+    def union(at: Column) -> Column:
+        steps = F.transform(at, lambda p, i: F.least(F.lit(width), F.coalesce(F.get(at, i + 1) - p, F.lit(width))))
+        return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    places = bind(F.array_sort(keyed), lambda keys: F.array_sort(F.transform(repeated(keys), lambda x: x["at"])))
-    union = bind(
-        places,
-        lambda at: F.aggregate(
-            F.transform(at, lambda p, i: F.least(F.lit(width), F.coalesce(F.get(at, i + 1) - p, F.lit(width)))), F.lit(0), lambda a, b: a + b
-        ),
-    )
-    return F.when(count < 2, F.lit(0)).otherwise(union).cast("long")
+    keyed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_bind(_bind(keyed, places), union)).cast("long")
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with the measurements of each text (long columns)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    base = docs.drop("_words", *MEASURES).withColumn("_words", _words(text))
+    base = docs.drop("_words", "_windows", *MEASURES).withColumn("_words", _words(text)).withColumn("_windows", _window_hashes(F.col("_words")))
     words = F.col("_words")
     long = lambda c: c.cast("long")
     return base.withColumns(
@@ -76,14 +83,14 @@ def measured(docs: DataFrame) -> DataFrame:
             "word_chars": long(F.length(F.translate(text, BLANKS, ""))),
             "n_symbols": long(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))),
             "n_dup_lines": long(F.size(lines) - F.size(F.array_distinct(lines))),
-            "n_repeat_words": _repeat_words(words),
+            "n_repeat_words": _repeat_words(words, F.col("_windows")),
             "n_lines": long(F.size(lines)),
             "n_upper": long(F.length(text) - F.length(F.regexp_replace(text, "\\p{Lu}", ""))),
             "n_cased": long(F.length(text) - F.length(F.regexp_replace(text, "[\\p{Lu}\\p{Ll}]", ""))),
             "n_stutter": long(F.size(F.filter(words, lambda w, i: F.coalesce(F.get(words, i - 1) == w, F.lit(False))))),
             "max_word": long(F.coalesce(F.array_max(F.transform(words, lambda w: F.length(w))), F.lit(0))),
         }
-    ).drop("_words")
+    ).drop("_words", "_windows")
 
 
 @dataclass(frozen=True)
