@@ -2,7 +2,7 @@
 
 A word is the average of the vectors of its character n-grams (with boundary marks), a
 document the average of its words, and a softmax over two classes sits on top.  Vectors and
-softmax are trained together in numpy, on the driver, from a bounded sample of labelled
+softmax are trained together in numpy, in one task, from a bounded sample of labelled
 documents.  A misspelling shares most n-grams with the word it hides.
 
 Scores are linear in the document vector, so the trained model folds into one number per
@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from .wordtools import Words, chunks, mix64
 
 #: Most labelled documents of each class that a model is fitted on.
-SAMPLE_PER_CLASS = 1500
+SAMPLE_PER_CLASS = 1200
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 DIMENSIONS = 2
 EPOCHS = 60
 LEAST_DOCUMENTS = 20
 #: Pieces of each clean document that join the sample, so that ordinary words are seen in short texts.
-PIECES = 16
+PIECES = 10
 #: Adam: learning rates of vectors, softmax and bias, weight decay of the vectors, and the floor of the step size.
 RATES = (4.0, 0.05, 0.2)
 DECAY = 0.0
@@ -89,7 +89,15 @@ class _Sparse:
 
     def dot(self, x, transpose=False):
         first, cols, values = self.parts[transpose]
-        return _segment_sums(x[cols] * values, first)
+        rows = len(first) - 1
+        out = np.zeros((rows, x.shape[1]), np.float32)
+        start = 0
+        while start < rows:  # a million entries at once
+            stop = min(rows, max(start + 1, int(np.searchsorted(first, first[start] + (1 << 20), side="right")) - 1))
+            a, b = first[start], first[stop]
+            out[start:stop] = _segment_sums(x[cols[a:b]] * values[a:b], first[start : stop + 1] - a)
+            start = stop
+        return out
 
 
 @dataclass
@@ -198,9 +206,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     usable = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out())
     picked = [usable.where(f"toxic = {t}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", F.lit(t).alias("toxic")) for t in (0, 1)]
     ids = picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return train([r.text for r in rows], [int(r.toxic) for r in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_train_rows, "weights binary, bias double").collect()
+    return Model(np.frombuffer(found[0].weights, np.float32).astype(np.float64), found[0].bias) if found else train([], [])
+
+
+def _train_rows(batches):
+    """The model of all rows of the bounded sample, trained in one task."""
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column("text").to_pylist()
+        labels += batch.column("toxic").to_pylist()
+    if labels:
+        m = train(texts, labels)
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([m.bias], pa.float64())], ["weights", "bias"])
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
