@@ -40,11 +40,17 @@ def us_support(name: Column, text: Column) -> Column:
         has = caption.contains(sep)
         left = F.when(has, F.substring_index(caption, sep, 1)).otherwise(left)
         right = F.when(has, caption.substr(F.instr(caption, F.lit(sep)) + len(sep), F.length(caption))).otherwise(right)
-    defendant = right.rlike(US_TOKEN)
-    out = F.lit(None).cast("int")
-    for cue, plaintiff, other in reversed(CUES):
-        value = F.lit(plaintiff) if plaintiff == other else F.when(defendant, F.lit(other)).otherwise(F.lit(plaintiff))
-        out = F.when(F.rlike(t, F.lit("(?U)" + cue)), value).otherwise(out)
+    defends = right.rlike(US_TOKEN)
+
+    def ruled(defendant: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for cue, plaintiff, other in reversed(CUES):
+            value = F.lit(plaintiff) if plaintiff == other else F.when(defendant, F.lit(other)).otherwise(F.lit(plaintiff))
+            out = F.when(F.rlike(t, F.lit("(?U)" + cue)), value).otherwise(out)
+        return out
+
+    # the one-element transform reads the caption once for all cues
+    out = F.get(F.transform(F.array(defends), ruled), F.lit(0))
     return F.when(strip(t) != "", out)
 
 
