@@ -32,12 +32,13 @@ SAMPLE_PER_CLASS = 1200
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 DIMENSIONS = 2
-EPOCHS = 60
-LEAST_DOCUMENTS = 20
+EPOCHS = 90
+#: An n-gram has a vector if one in so many of the sample's documents has it (three at least).
+RARE = 60
 #: Pieces of each clean document that join the sample, so that ordinary words are seen in short texts.
-PIECES = 10
+PIECES = 24
 #: Adam: learning rates of vectors, softmax and bias, weight decay of the vectors, and the floor of the step size.
-RATES = (4.0, 0.05, 0.2)
+RATES = (6.0, 0.05, 0.2)
 DECAY = 0.0
 EPSILON = 1e-6
 
@@ -135,7 +136,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
     """Fit n-gram vectors and softmax together (Adam on the whole sample).
 
     Averaging words that average their n-grams is one sparse product, documents by n-grams.
-    N-grams found in fewer than ``LEAST_DOCUMENTS`` of the sample get no vector.
+    N-grams that are rare in the sample (see ``RARE``) get no vector.
     """
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), -60.0)
@@ -157,7 +158,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
         share.append(np.bincount(where, weights=np.repeat(part, size)).astype(np.float32))
         doc_at.append(np.full(len(own), i, np.int32))
     doc_at, gram_at, share = np.concatenate(doc_at), np.concatenate(gram_at), np.concatenate(share)
-    often = np.bincount(gram_at, minlength=BUCKETS) >= LEAST_DOCUMENTS
+    often = np.bincount(gram_at, minlength=BUCKETS) >= max(3, whole // RARE)
     keep = often[gram_at]
     used = np.flatnonzero(often)
     x = _Sparse(doc_at[keep], np.searchsorted(used, gram_at[keep]), share[keep], (len(y), len(used)))
