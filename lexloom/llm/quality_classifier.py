@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .toxicity import held_out
 from .wordtools import Words, chunks, mix64, text_bytes
 
-LABELLED_PER_CLASS = 1000
-UNLABELLED = 2000
+LABELLED_PER_CLASS = 700
+UNLABELLED = 1200
 ROUNDS = 4
 #: Documents of each class that a view passes on in a round.
 PASSED = 60
