@@ -2,7 +2,10 @@
 
 toxicity (rejected documents go) -> n-gram Jaccard join (one document of each group stays) ->
 substring dedup (recurring passages go) -> mixing sources (the documents in mix order) ->
-byte-level BPE (token ids).
+byte-level BPE (token ids, each document with its position in the mix).
+
+The order of rows in files is not kept by later reads and shuffles, so the mix is the column
+``position`` of the result: sorted by it, every prefix has the target shares of the sources.
 """
 
 from __future__ import annotations
@@ -40,9 +43,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids)`` of every document."""
-    out = bpe.encode(docs, public_tokenizers.path(queries.BPE_RANKS))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """``(doc_id, position, n_tokens, ids)`` of every document.
+
+    The schedule depends on ids and sources only, so it gives the positions of the mixing stage again.
+    It is written down because the encoding must find its rows in the same order when it is run again.
+    """
+    placed = materialize(mixing.schedule(docs.select("doc_id", "source", "text"), queries.SOURCE_WEIGHTS).select("doc_id", "text", "position"), "placed")
+    out = bpe.encode(placed, public_tokenizers.path(queries.BPE_RANKS), place="position")
+    return out.select("doc_id", "position", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

@@ -144,9 +144,9 @@ def decode_ids(ids: pa.Array, path: str) -> pa.BinaryArray:
 
 # ---------------------------------------------------------------- steps
 
-_SHUFFLED = "key long, block long, first long, docs array<long>, counts array<long>, packed binary"
-_NAMES = ["key", "block", "first", "docs", "counts", "packed"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+_SHUFFLED = "key long, block long, first long, docs array<long>, places array<long>, counts array<long>, packed binary"
+_NAMES = ["key", "block", "first", "docs", "places", "counts", "packed"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -160,7 +160,7 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
 
 
-def _block_rows(ids: list[pa.Array], tokens: list[pa.Array], counts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+def _block_rows(ids: list[pa.Array], places: list[pa.Array], tokens: list[pa.Array], counts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     """One row with the documents and positions of a block (packed: word numbers), then its words by bucket.
 
     Words are numbered by bucket and then by their bytes, so a bucket's words have consecutive numbers.
@@ -172,35 +172,36 @@ def _block_rows(ids: list[pa.Array], tokens: list[pa.Array], counts: list[np.nda
     number = np.empty(len(words), np.int64)
     number[order] = np.arange(len(words))
     positions = _pack(number[encoded.indices.to_numpy(zero_copy_only=False)]) if words else _pack(np.zeros(0, np.uint32))
-    docs = [d for part in ids for d in part.to_pylist()]
+    docs, at = ([d for part in parts for d in part.to_pylist()] for parts in (ids, places))
     lengths = np.concatenate(counts).tolist()
-    name = xxhash.xxh3_64_intdigest(positions + repr((docs, lengths)).encode() + b"\0".join(words)) >> 2 | 1 << 62
-    rows = [(name, name, -1, docs, lengths, positions)]
+    name = xxhash.xxh3_64_intdigest(positions + repr((docs, at, lengths)).encode() + b"\0".join(words)) >> 2 | 1 << 62
+    rows = [(name, name, -1, docs, at, lengths, positions)]
     sizes = np.bincount(bucket, minlength=buckets)
     first = 0
     for b in np.flatnonzero(sizes).tolist():
         own = [words[i] for i in order[first : first + int(sizes[b])]]
         lens = np.array([len(w) for w in own], np.uint32)
         body = zstandard.compress(len(own).to_bytes(4, "little") + lens.tobytes() + b"".join(own), 3)
-        rows.append((b, name, first, None, None, body))
+        rows.append((b, name, first, None, None, None, body))
         first += int(sizes[b])
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], _NAMES)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    ids, tokens, counts, held = [], [], [], 0
+    ids, places, tokens, counts, held = [], [], [], [], 0
     for batch in batches:
         for part in chunks(batch):
             words, bounds = pretokens(part.column("text"))
             ids.append(part.column("doc_id"))
+            places.append(part.column("place"))
             tokens.append(words)
             counts.append(np.diff(bounds))
             held += part.column("text").nbytes
             if held >= block_bytes:
-                yield _block_rows(ids, tokens, counts, buckets)
-                ids, tokens, counts, held = [], [], [], 0
+                yield _block_rows(ids, places, tokens, counts, buckets)
+                ids, places, tokens, counts, held = [], [], [], [], 0
     if ids:
-        yield _block_rows(ids, tokens, counts, buckets)
+        yield _block_rows(ids, places, tokens, counts, buckets)
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -244,8 +245,8 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
         yield flush()
 
 
-def _documents(left: pa.Table, right: pa.Table) -> Iterator[tuple[int | None, pa.Array]]:
-    """(doc_id, ids) of every document of a block."""
+def _documents(left: pa.Table, right: pa.Table) -> Iterator[tuple[int | None, int | None, pa.Array]]:
+    """(doc_id, place, ids) of every document of a block."""
     left = left.filter(pc.less(left.column("first"), 0))
     if not left.num_rows:
         return
@@ -256,7 +257,7 @@ def _documents(left: pa.Table, right: pa.Table) -> Iterator[tuple[int | None, pa
     lens = np.concatenate([lists[f][0] for f in sorted(lists)]) if lists else np.zeros(0, np.uint32)
     flat = np.concatenate([lists[f][1] for f in sorted(lists)]) if lists else np.zeros(0, np.uint32)
     table = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens, dtype=np.int64)).astype(np.int32)), pa.array(flat.astype(np.int32)))
-    for docs, counts, packed in zip(*(left.column(c).to_pylist() for c in ("docs", "counts", "packed")), strict=True):
+    for docs, places, counts, packed in zip(*(left.column(c).to_pylist() for c in ("docs", "places", "counts", "packed")), strict=True):
         codes, edges = _unpack(packed), np.append(0, np.cumsum(counts))
         if len(codes) and codes.max() >= len(table):
             raise RuntimeError("a block came back without all of its words: its input was read in another order")
@@ -267,25 +268,26 @@ def _documents(left: pa.Table, right: pa.Table) -> Iterator[tuple[int | None, pa
             ids, at = got.flatten(), np.append(0, np.cumsum(pc.list_value_length(got).to_numpy(zero_copy_only=False)))
             for d in range(start, stop):
                 a, b = int(at[edges[d] - edges[start]]), int(at[edges[d + 1] - edges[start]])
-                yield docs[d], ids.slice(a, b - a)
+                yield docs[d], places[d], ids.slice(a, b - a)
             start = stop
 
 
 def _id_rows(left: pa.Table, right: pa.Table) -> pa.Table:
-    docs, lists = [], []
-    for doc, ids in _documents(left, right):
+    docs, places, lists = [], [], []
+    for doc, place, ids in _documents(left, right):
         docs.append(doc)
+        places.append(place)
         lists.append(ids)
     at = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
     flat = pa.concat_arrays(lists) if lists else pa.array([], pa.int32())
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(at), flat)})
+    return pa.table({"doc_id": pa.array(docs, pa.int64()), "place": pa.array(places, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(at), flat)})
 
 
 def _digest_rows(left: pa.Table, right: pa.Table, path: str) -> pa.Table:
     """Digest columns of a block's documents; decoding goes through the token-byte table."""
     names = _decimal_names(path)
     docs, lengths, ids_sha, text_sha = [], [], [], []
-    for doc, ids in _documents(left, right):
+    for doc, _, ids in _documents(left, right):
         docs.append(doc)
         lengths.append(len(ids))
         ids_sha.append(hashlib.sha256(",".join(names.take(ids).to_pylist()).encode()).hexdigest())
@@ -309,21 +311,23 @@ def _joined(pieces: pa.BinaryArray) -> bytes | memoryview:
 # ---------------------------------------------------------------- operators
 
 
-def _by_block(docs: DataFrame, path: str, block_bytes: int, finish, schema: str) -> DataFrame:
+def _by_block(docs: DataFrame, path: str, block_bytes: int, finish, schema: str, place: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(LEAST_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(place).cast("long").alias("place") if place else F.lit(None).cast("long").alias("place"))
     dealt = rows.mapInArrow(functools.partial(_blocks, block_bytes=block_bytes, buckets=buckets), _SHUFFLED).repartition("key")
     coded = dealt.mapInArrow(functools.partial(_encode_words, path=path), "block long, first long, words long, packed binary")
     return dealt.groupBy("key").cogroup(coded.groupBy("block")).applyInArrow(finish, schema)
 
 
-def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, place: str | None = None) -> DataFrame:
     """``(doc_id, ids array<int>)`` for every row of ``docs(doc_id, text)`` by the ranks at ``path``.
 
-    ``path`` is the vocabulary file as installed on every node.
+    ``path`` is the vocabulary file as installed on every node.  ``place`` names a whole-number
+    column that each row keeps, between the id and the token ids.
     """
-    return _by_block(docs, path, block_bytes, _id_rows, "doc_id long, ids array<int>")
+    coded = _by_block(docs, path, block_bytes, _id_rows, "doc_id long, place long, ids array<int>", place)
+    return coded.withColumnRenamed("place", place) if place else coded.drop("place")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

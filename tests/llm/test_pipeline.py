@@ -41,3 +41,20 @@ def test_stages(spark):
     enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     got = P.encoded(spark, four, SF).collect()
     assert {r.doc_id: list(r.ids) for r in got} == {i: enc.encode_ordinary(t or "") for i, t in left.items()} and all(r.n_tokens == len(r.ids) for r in got)
+
+
+def test_every_prefix_of_the_result_has_the_shares_of_the_mix(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(6)), "en", "src0" if i % 4 == 0 else "src1" if i % 4 == 1 else "src10", 40) for i in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = P.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1200)) and len({r.position for r in got}) == 1200
+    source, share = {r[0]: r[3] for r in rows}, {"src0": 4 / 7, "src1": 2 / 7, "src10": 1 / 7}
+    had = dict.fromkeys(share, 0)
+    for n, r in enumerate(sorted(got, key=lambda r: r.position), 1):
+        had[source[r.doc_id]] += 1
+        assert all(abs(had[s] - w * n) < 2 * 64 for s, w in share.items())
+        if had["src0"] == 300:  # the first source to run out
+            break
+    else:
+        raise AssertionError("src0 never ran out")
