@@ -30,3 +30,26 @@ def test_odd_inputs(spark):
     labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int")
     assert [r.score for r in Q.predictions(docs, labels).collect()] == [0.5] * 3
     assert Q.predictions(docs.limit(0), labels).collect() == []
+
+
+def test_all_unlabelled_documents_are_scored_and_passed_on(spark, monkeypatch):
+    """Every round looks at all unlabelled documents, and what is passed on grows with them."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta"] if i % 2 else ["gamma", "delta"], 6)), "en", "s1" if i % 2 else "s0") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(Q, "PASSED", 5)
+    monkeypatch.setattr(Q, "SHARD_ROWS", 40)
+    counted, limits = [], Q._limits
+    monkeypatch.setattr(Q, "_limits", lambda found, passed: counted.append((sum(n for k, n in found.items() if k[0] == 0), passed)) or limits(found, passed))
+    got = Q.predictions(docs, labels).collect()
+    free = sum(not r.held_out and r.doc_id >= 40 for r in got)
+    assert len(got) == 3000 and all(r.predicted == r.doc_id % 2 for r in got)
+    assert counted[0] == (free, -(-free // 100)) and len(counted) == Q.ROUNDS
+    assert all(free * 0.01 < a[0] - b[0] < free * 0.06 for a, b in zip(counted, counted[1:]))
+
+
+def test_packed_features_are_the_same():
+    b = Q._batch([{"doc_id": i, "text": t, "lang": None, "source": "s"} for i, t in enumerate(["a b a b a", None, "x", "", "é ü é"])])
+    first, bucket, count = Q.content_counts(b.column("text"))
+    assert all((x == y).all() for x, y in zip((first, bucket, count), Q._unpack(Q._pack(first, bucket, count))))
