@@ -237,6 +237,13 @@ def name_contains(spark, sf_dir):
     return d.select("doc_id", (single | text.contains_any(F.col("text"), needles) & F.rlike(F.lower("text"), F.lit(r"\bwith that\b"))).alias("hit"))
 
 
+@query()
+def name_contains_all(spark, sf_dir):
+    """``name_contains`` on all rows; DuckDB has no Unicode word boundary."""
+    needles = F.array(F.lit("The"), F.lit("With that"))
+    return _read(spark, sf_dir, "documents").select("doc_id", text.contains_any(F.col("text"), needles).alias("hit"))
+
+
 _IDS = "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS VARCHAR(20)) || '.0' WHEN 1 THEN ' ' || CAST(o_orderkey AS VARCHAR(20)) || ' ' WHEN 2 THEN 'x.0' ELSE CAST(o_orderkey AS VARCHAR(20)) || '.50' END AS id FROM orders"
 
 
@@ -288,6 +295,18 @@ def nfkd_length(spark, sf_dir):
     return _read(spark, sf_dir, "documents").where("text rlike '^[\\\\x00-\\\\x7F]*$'").select("doc_id", F.length(nfkd("text")).cast("long").alias("n"))
 
 
+@query()
+def ascii_text_all(spark, sf_dir):
+    """``ascii_text`` on all rows; DuckDB has no compatibility decomposition."""
+    return _read(spark, sf_dir, "documents").select("doc_id", ascii_fold("text").alias("folded"))
+
+
+@query()
+def nfkd_length_all(spark, sf_dir):
+    """``nfkd_length`` on all rows."""
+    return _read(spark, sf_dir, "documents").select("doc_id", F.length(nfkd("text")).cast("long").alias("n"))
+
+
 # ---------------------------------------------------------------- scans
 
 
@@ -335,6 +354,12 @@ def truncate_tokens(spark, sf_dir):
     return c.select("conv_id", "turn", answers.truncate_text(F.col("text"), 3).alias("text"))
 
 
+@query()
+def truncate_tokens_all(spark, sf_dir):
+    """``truncate_tokens`` on all rows; DuckDB's word characters are ASCII."""
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", answers.truncate_text(F.col("text"), 3).alias("text"))
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS custom_id, 'POST' AS method, 'gpt-4o' AS model, 3 AS n_messages FROM documents WHERE doc_id % 2 = 0")
 def request_build(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("unique_id"), (F.col("doc_id") % 2 == 0).cast("int").alias("is_appellate"), F.col("text").alias("opinion_text"))
