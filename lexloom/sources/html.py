@@ -42,9 +42,14 @@ def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(text_of)
 
 
-@pandas_udf(StringType())
-def pdf_text(files: pd.Series) -> pd.Series:
-    """Text of PDF files, pages joined by a form feed line; needs the optional package pypdf."""
+def text_of_pdf(file: bytes) -> str:
+    """Text of a PDF file, pages joined by a form feed line; needs the optional package pypdf."""
     from pypdf import PdfReader
 
-    return files.map(lambda b: None if b is None else "\n\f\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(b)).pages))
+    return "\n\f\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(file)).pages)
+
+
+@pandas_udf(StringType())
+def pdf_text(files: pd.Series) -> pd.Series:
+    """Text of PDF files (see ``text_of_pdf``); null stays null."""
+    return files.map(lambda b: None if b is None else text_of_pdf(b))

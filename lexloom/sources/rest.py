@@ -1,7 +1,8 @@
 """Paginated REST ingest as a Spark data source with a pluggable transport.
 
 ``transport`` names a factory ``module:function`` that takes the options and returns a callable
-``(url, params) -> (status, headers, payload)``; tests replay recorded pages with it.  Pages of
+``(url, params) -> (status, headers, payload)``; tests replay recorded pages with it.  The payload
+is the decoded JSON of an API page and the bytes of any other file.  Pages of
 a court follow each other by their ``next`` link, so a court is one partition and courts are
 read in parallel.
 """
@@ -19,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .html import text_of
+from .html import text_of, text_of_pdf
 
 # The service's retry rules and page size.
 RETRIED = {429, 500, 502, 503, 504}
@@ -34,16 +35,26 @@ def urllib_transport(options: dict[str, str]) -> Transport:
     def get(url, params):
         if params:
             url += ("&" if "?" in url else "?") + urllib.parse.urlencode(params)
-        request = urllib.request.Request(url, headers={"Authorization": f"Token {options.get('token', '')}", "User-Agent": options.get("useragent", "lexloom")})
+        headers = {"User-Agent": options.get("useragent", "lexloom")}
+        # Downloads lie on other hosts, which must not see the token; nor may a host that a request is redirected to.
+        own = not options.get("base") or urllib.parse.urlsplit(url).netloc == urllib.parse.urlsplit(options["base"]).netloc
+        request = urllib.request.Request(url, headers=headers)
+        if own:
+            request.add_unredirected_header("Authorization", f"Token {options.get('token', '')}")
         try:
             with urllib.request.urlopen(request, timeout=float(options.get("timeout", 60))) as r:
-                return r.status, dict(r.headers), json.loads(r.read())
+                body = r.read()
+                return r.status, dict(r.headers), json.loads(body) if r.headers.get_content_type().endswith("json") else body
         except urllib.error.HTTPError as e:
             return e.code, dict(e.headers), None
 
     return get
 
 
+class Refused(RuntimeError):
+    """An HTTP error that another attempt would not mend."""
+
+
 class Client:
     """GET with bounded retries; parameters are sent again on every attempt."""
 
@@ -69,7 +80,7 @@ class Client:
                 self.sleep(pause)
                 continue
             if status >= 400:
-                raise RuntimeError(f"{url}: HTTP {status}")
+                raise Refused(f"{url}: HTTP {status}")
             return payload
         raise RuntimeError(f"{url}: gave up after {self.attempts} attempts ({last})")
 
@@ -81,8 +92,18 @@ def cluster_id(item: dict) -> str | None:
     return link.rstrip("/").split("/")[-1] if "/clusters/" in link else None
 
 
+def download_text(client: Client, url: str | None) -> str | None:
+    """Text of the PDF file at ``url``; None if there is no link or it leads to no file."""
+    if not url:
+        return None
+    try:
+        return text_of_pdf(client.get(url))
+    except Refused:
+        return None
+
+
 def cluster_text(client: Client, base: str, cid: str) -> str:
-    """Opinion text: the cluster's own, else its first opinion's (plain, cited HTML, HTML)."""
+    """Opinion text: the cluster's own, else its first opinion's (plain, cited HTML, HTML, PDF), else the cluster's PDF."""
     cluster = client.get(f"{base}/clusters/{cid}/") or {}
     for field in ("plain_text", "plain_text_with_citations"):
         if cluster.get(field):
@@ -96,7 +117,10 @@ def cluster_text(client: Client, base: str, cid: str) -> str:
         for field in ("html_with_citations", "html"):
             if opinion.get(field):
                 return text_of(opinion[field])
-    return ""
+        text = download_text(client, opinion.get("download_url"))
+        if text is not None:
+            return text
+    return download_text(client, cluster.get("download_url")) or ""
 
 
 def docket_number(client: Client, base: str, cid: str, item: dict) -> str:
