@@ -39,6 +39,7 @@ BLOCK = {
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre",
     "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 CLOSES = {"p": BLOCK - {"br", "html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -90,6 +91,8 @@ def blocks(page: str) -> list[Block]:
 
     def add(text: str):
         nonlocal linked
+        if stack and stack[-1][0] == "head" and text.strip():  # text can't be in a head, so the body has begun
+            pop_to(len(stack) - 1)
         if not skipping and text:
             pieces.append(text)
             if links:
@@ -115,6 +118,8 @@ def blocks(page: str) -> list[Block]:
             if at is not None:
                 pop_to(at)
             continue
+        if tag not in IN_HEAD and stack and stack[-1][0] == "head":
+            pop_to(len(stack) - 1)
         if tag in BLOCK:
             close_block()
         for i in range(len(stack) - 1, -1, -1):

@@ -45,3 +45,10 @@ def test_table(spark):
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1)>|<br>", inner)]
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
     assert H.main_text(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string")).collect()[0].text == ""
+
+
+def test_head_without_an_end_tag():
+    start = "<!doctype html><html><head><title>t</title><meta charset=utf-8><style>p{}</style><script>x</script>\n"
+    for rest in ("<body><main><p>The text of it</p></main></body></html>", "<p>The text of it</p>", "The text of it", "</head><body><p>The text of it</p>"):
+        assert [b.text for b in H.blocks(start + rest)] == ["The text of it"]
+        assert H.extract(start + rest) == ("" if rest[0] == "T" else "The text of it")  # bare short text counts as boilerplate, with a closed head too
