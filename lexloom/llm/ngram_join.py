@@ -98,6 +98,24 @@ def _members(batches, width):
             )
 
 
+def _node_rows(batches, width):
+    """(node, text) of rows with a text; the node is the first key of its set, computed from the text."""
+    for batch in batches:
+        for part, sets in ngram_sets(batch, width):
+            nodes = np.array([_set_key(s)[0] for s in sets], np.uint64).view(np.int64)
+            keep = pa.array([len(s) > 0 for s in sets], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes).filter(keep), part.column("text").filter(keep)], ["node", "text"])
+
+
+def _own_rows(batches, width):
+    """(node, text) of the rows whose text has the set of their node: rows were found by an id that others may share."""
+    for batch in batches:
+        for part, sets in ngram_sets(batch, width):
+            nodes = np.array([_set_key(s)[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            same = pa.array(nodes == part.column("node").to_numpy())
+            yield pa.RecordBatch.from_arrays([part.column("node").filter(same), part.column("text").filter(same)], ["node", "text"])
+
+
 def _shingle_rows(batches, width):
     for batch in batches:
         for part, sets in ngram_sets(batch, width):
@@ -271,10 +289,12 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     # One row per distinct set.  Different sets under one 64-bit node are told apart by the second key.
     reps = members.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     wanted = lists.select(F.col("node").alias("k1")).distinct().join(reps, "k1").groupBy("k1").agg(F.min("rep").alias("rep"))
-    grams = materialize(
-        wanted.select(F.col("rep").alias("doc_id"), F.col("k1").alias("node")).join(docs, "doc_id").dropDuplicates(["node"]).select("node", "text").mapInArrow(functools.partial(_shingle_rows, width=width), "node long, grams array<long>"),
-        "grams",
-    )
+    # Texts are read again by the id of the representative, and by the set itself where all of its ids are null.
+    by_id = wanted.select(F.col("rep").alias("doc_id"), F.col("k1").alias("node")).join(docs, "doc_id").select("node", "text").mapInArrow(functools.partial(_own_rows, width=width), "node long, text string")
+    unnamed = docs.where("doc_id is null").select("text").mapInArrow(functools.partial(_node_rows, width=width), "node long, text string")
+    by_set = unnamed.join(wanted.where("rep is null").select(F.col("k1").alias("node")), "node", "left_semi")
+    found = by_id.unionByName(by_set).dropDuplicates(["node"])
+    grams = materialize(found.mapInArrow(functools.partial(_shingle_rows, width=width), "node long, grams array<long>"), "grams")
 
     links = None
     tried = None

@@ -118,3 +118,14 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_one_id_with_several_texts_and_null_ids(spark):
+    rng = random.Random(8)
+    text = [[f"t{k}w{i}" for i in range(120)] for k in range(6)]
+    near = [" ".join(edited(t, 1, rng)) for t in text]
+    text = [" ".join(t) for t in text]
+    rows = [(1, text[0]), (1, text[1]), (1, text[2]), (5, near[0]), (6, near[1]), (7, near[2]), (None, text[3]), (None, text[4]), (9, near[3]), (8, near[4]), (None, text[5]), (None, "")]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(1, 117, 1)] * 3 + [(5, 117, 1), (6, 117, 1), (7, 117, 1), (None, 117, 9), (None, 117, 8), (9, 117, 9), (8, 117, 8), (None, 117, None), (None, 0, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
