@@ -33,8 +33,10 @@ BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 DIMENSIONS = 2
 EPOCHS = 90
-#: An n-gram has a vector if one in so many of the sample's documents has it (three at least).
-RARE = 60
+#: An n-gram has a vector if so many whole documents of the sample have it, whatever the size of the sample.
+LEAST_DOCUMENTS = 3
+#: Share that a vector loses in each epoch, divided by the documents that have its n-gram: rare ones weigh less.
+RARE_DECAY = 0.3
 #: Pieces of each clean document that join the sample, so that ordinary words are seen in short texts.
 PIECES = 24
 #: Adam: learning rates of vectors, softmax and bias, weight decay of the vectors, and the floor of the step size.
@@ -136,7 +138,8 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
     """Fit n-gram vectors and softmax together (Adam on the whole sample).
 
     Averaging words that average their n-grams is one sparse product, documents by n-grams.
-    N-grams that are rare in the sample (see ``RARE``) get no vector.
+    N-grams of fewer than ``LEAST_DOCUMENTS`` whole documents get no vector; pieces don't count.
+    Vectors of rare n-grams decay (``RARE_DECAY``).
     """
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), -60.0)
@@ -158,7 +161,8 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
         share.append(np.bincount(where, weights=np.repeat(part, size)).astype(np.float32))
         doc_at.append(np.full(len(own), i, np.int32))
     doc_at, gram_at, share = np.concatenate(doc_at), np.concatenate(gram_at), np.concatenate(share)
-    often = np.bincount(gram_at, minlength=BUCKETS) >= max(3, whole // RARE)
+    held = np.bincount(gram_at[doc_at < whole], minlength=BUCKETS)
+    often = held >= LEAST_DOCUMENTS
     keep = often[gram_at]
     used = np.flatnonzero(often)
     x = _Sparse(doc_at[keep], np.searchsorted(used, gram_at[keep]), share[keep], (len(y), len(used)))
@@ -166,6 +170,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
 
     params = [rng.normal(0, 0.01, (len(used), DIMENSIONS)).astype(np.float32), rng.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
+    stays = (1 - np.minimum(1, RARE_DECAY / held[used])).astype(np.float32)[:, None]
     weight = np.where(y == 1, 1 / y.sum(), 1 / max(1, whole - y.sum())).astype(np.float32)[:, None]
     weight[whole:] = 2 / max(1, len(y) - whole)
     weight /= weight.sum()
@@ -184,6 +189,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             params[i] = params[i] - RATES[i] * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + EPSILON)
+        params[0] *= stays
     vectors, top, bias = params
     weights = np.zeros(BUCKETS)
     weights[used] = vectors @ (top[:, 1] - top[:, 0])

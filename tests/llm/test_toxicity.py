@@ -47,3 +47,24 @@ def test_one_class_and_empty(spark):
     assert [r.predicted for r in T.predictions(docs, labels).collect()] == [0, 0, 0]
     assert T.predictions(docs.limit(0), labels).collect() == []
     assert T.keep_clean(docs, labels).columns == docs.columns
+
+
+def test_a_toxic_word_of_few_documents_counts(monkeypatch):
+    """What has a vector does not depend on the size of the sample, and pieces of clean documents don't count."""
+    monkeypatch.setattr(T, "PIECES", 8)
+    rng = random.Random(2)
+    plain = [f"{a}{b}{c}" for a in ("ta", "lo", "mi", "re") for b in ("ber", "nat", "sil") for c in ("o", "en", "us")]
+    texts, labels = [], []
+    for i in range(1200):
+        words = [rng.choice(plain) for _ in range(rng.randrange(10, 30))]
+        if i % 2:
+            words[rng.randrange(len(words))] = "quizzwack" if i % 100 == 1 else "grumblor"
+        if i in (0, 2):
+            words = ["zyxovurp"] * 10 + words
+        texts.append(" ".join(words))
+        labels.append(i % 2)
+    m = T.train(texts, labels)
+    s = m.scores(pa.array(["taber quizzwack loneno misilo", "taber loneno misilo renatus"]))
+    assert s[0] > 0.5 > s[1]
+    first, bucket = T.subwords(pa.array(["zyxovurp"]))
+    assert (m.weights[bucket] == 0).mean() > 0.9  # two documents, many pieces
