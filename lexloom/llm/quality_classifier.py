@@ -27,6 +27,7 @@ every score is 0.5.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -213,7 +214,7 @@ def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, run - np.repeat(before, np.diff(first)), np.frombuffer(raw, np.uint32, first[-1], 4 + 4 * rows + 2 * first[-1]).astype(np.int64)
 
 
-_FEATURES = "ids array<long>, role binary, content binary, meta binary"
+_FEATURES = "chunk long, ids array<long>, content binary, meta binary"
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +222,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in chunks(batch, limit=FEATURE_BYTES):
             first, bucket, counts = content_counts(part.column("text"))
             meta_first, meta_bucket, _ = meta_view(part)
-            row = [part.column("doc_id").to_pylist()], [part.column("role").to_numpy().astype(np.int8).tobytes()], [_pack(first, bucket, counts)], [_pack(meta_first, meta_bucket, np.ones(len(meta_bucket)))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["ids", "role", "content", "meta"])
+            row = [uuid.uuid4().int >> 65], [part.column("doc_id").to_pylist()], [_pack(first, bucket, counts)], [_pack(meta_first, meta_bucket, np.ones(len(meta_bucket)))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], ["chunk", "ids", "content", "meta"])
 
 
 def _chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, pa.Array]]:
@@ -232,7 +233,7 @@ def _chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, pa.Ar
             ids = batch.column("ids")[i].values
             first, bucket, count = _unpack(batch.column("content")[i].as_py())
             meta_first, meta_bucket, ones = _unpack(batch.column("meta")[i].as_py())
-            role = np.frombuffer(batch.column("role")[i].as_py(), np.int8)
+            role = batch.column("role")[i].values.to_numpy()
             yield Chunk(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), role, ((first, bucket, _values(first, count)), (meta_first, meta_bucket, ones.astype(float))), ((first, bucket, count), (meta_first, meta_bucket, ones))), ids
 
 
@@ -385,15 +386,21 @@ def _training(chunk: Chunk, given: np.ndarray, view: int):
 
 
 def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Packed features of all rows of ``docs``, written once; see ``_FEATURES``."""
+    """Packed features of all rows of ``docs`` (see ``_FEATURES``) with the role of each.
+
+    Features are written once.  Ids alone meet the labels; the roles come back to the packed rows in
+    a broadcast table of one byte a document, so neither texts nor features are shuffled.
+    """
+    packed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").mapInArrow(_feature_rows, _FEATURES), "features")
     usable = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out())
     picked = [usable.where(f"quality = {q}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_PER_CLASS).select("doc_id", F.lit(q).alias("quality")) for q in (0, 1)]
     sample = picked[0].unionByName(picked[1])
     rest = labels.where("doc_id is not null").select("doc_id", F.lit(None).cast("int").alias("quality"))
     known = sample.unionByName(rest).groupBy("doc_id").agg(F.coalesce(F.max("quality"), F.lit(UNUSED)).alias("known"))
     role = F.when(F.col("doc_id").isNull() | held_out(), UNUSED).otherwise(F.coalesce("known", F.lit(FREE)))
-    rows = docs.select(*COLUMNS).join(known, "doc_id", "left").withColumn("role", role).drop("known")
-    return materialize(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "role").mapInArrow(_feature_rows, _FEATURES), "features")
+    each = packed.select("chunk", F.posexplode("ids").alias("at", "doc_id")).join(known, "doc_id", "left").select("chunk", F.struct("at", role.cast("tinyint").alias("role")).alias("r"))
+    roles = materialize(each.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r.role).alias("role")), "roles")
+    return packed.join(F.broadcast(roles), "chunk").drop("chunk")
 
 
 def _training_rows(batches, shared, shards):
@@ -447,8 +454,7 @@ def _count_rows(batches, shared):
 
 def _role_rows(batches):
     for batch in batches:
-        role = np.concatenate([np.frombuffer(x, np.int8) for x in batch.column("role").to_pylist()]) if batch.num_rows else np.zeros(0, np.int8)
-        roles, n = np.unique(role, return_counts=True)
+        roles, n = np.unique(batch.column("role").flatten().to_numpy(), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(roles.astype(np.int64)), pa.array(n)], ["role", "n"])
 
 
