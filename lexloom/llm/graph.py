@@ -29,7 +29,7 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     """``(node, component)`` for every node that has an edge; the component is its smallest node.
 
     ``edges`` has the columns ``a`` and ``b``; loops and repeated edges do no harm and an
-    empty input gives an empty result.
+    empty input gives an empty result.  The result is a table in the shared folder.
     """
     current = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
@@ -40,6 +40,9 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         current = nxt
         if tuple(state) == seen:
             roots = current.select(F.col("b").alias("node")).distinct()
-            return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+            labels = current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+            out = materialize(labels, "labels")
+            discard(current)
+            return out
         seen = tuple(state)
     raise RuntimeError("components did not settle")

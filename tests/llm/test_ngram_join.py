@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from lexloom.llm.graph import components
-from lexloom.llm.ngram_join import Classes, keep_one, link_components, list_keys, subset_keys
+from lexloom.llm import ngram_join
+from lexloom.llm.ngram_join import keep_one, link_components, linked_sets, subset_keys
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,20 +99,64 @@ def test_light_sets_share_a_subset(size):
         b = np.unique(np.append(a[gone:], rng.integers(0, 2**63, gone // 2, dtype=np.uint64)))
         i = len(np.intersect1d(a, b))
         if 100 * i >= 85 * (len(a) + len(b) - i):
-            assert np.intersect1d(subset_keys(a, 85), subset_keys(b, 85)).size
+            (ka, na), (kb, nb) = subset_keys(a, 85), subset_keys(b, 85)
+            shared = np.intersect1d(ka, kb)
+            assert shared.size and max(na[np.isin(ka, shared)]) == i == max(nb[np.isin(kb, shared)])
+
+
+def test_many_small_buckets_give_the_same(spark, monkeypatch):
+    rows = family_rows(random.Random(11))
+    monkeypatch.setattr(ngram_join, "BUCKET_GRAMS", 100)
+    for width, percent in ((4, 85), (5, 80), (2, 60)):
+        got = sorted(map(tuple, link_components(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()))
+        assert got == brute(rows, width, percent)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_every_pair_of_linked_sets(spark, percent):
+    rng = random.Random(percent)
+    rows = family_rows(rng) + [(5000 + i, " ".join(edited([f"b{k}" for k in range(n)], 1, rng))) for i, n in enumerate([9, 10, 11, 13, 16, 20, 25] * 4)]
+    pairs, members = linked_sets(spark.createDataFrame(rows, "doc_id long, text string"), 4, percent)
+    node = {r.doc_id: r.node for r in members.collect()}
+    sets = {}
+    for doc, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        if w:
+            sets[node[doc]] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or {tuple(w)}
+    want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert {(min(r), max(r)) for r in map(tuple, pairs.collect())} == want
+
+
+def test_near_copies_without_a_centre(spark):
+    """Copies whose differences overlap in part, so that most lists hold several components at first."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(200)]
+    shared = [edited(base, 3, rng) for _ in range(6)]
+    rows = [(i, " ".join(edited(rng.choice(shared), rng.randrange(9), rng))) for i in range(150)]
+    got = sorted(map(tuple, link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows)
 
 
-def test_linked_heavy_sets_share_a_list():
-    rng = np.random.default_rng(1)
-    classes = Classes(85)
-    for _ in range(1500):
-        n = int(rng.integers(6, 400))
-        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        gone = int(rng.integers(0, n * 15 // 100 + 1))
-        b = np.unique(np.append(a[gone:], rng.integers(0, 2**63, int(rng.integers(0, gone + 1)), dtype=np.uint64)))
-        i = len(np.intersect1d(a, b))
-        if len(b) and 100 * i >= 85 * (len(a) + len(b) - i):
-            assert np.intersect1d(list_keys(a, classes), list_keys(b, classes)).size
+def test_very_long_text(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:140_000])), (3, " ".join(words[:70_000])), (4, "x" * 3_000_000), (5, "X" * 3_000_000)]
+    got = {r.doc_id: r.component_id for r in link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+def test_keep_one_judges_rows(spark):
+    """Repeated and null ids: every row is a document of its own."""
+    a = " ".join(f"a{i}" for i in range(50))
+    b = " ".join(f"b{i}" for i in range(50))
+    c = " ".join(f"c{i}" for i in range(50))
+    rows = [(1, a, "p"), (5, a, "q"), (5, b, "r"), (7, c, "s"), (7, c, "t"), (None, a, "u"), (None, "only here " * 9, "v"), (None, None, "w"), (8, "", "x"), (8, None, "y"), (8, b, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string").withColumnRenamed("k1", "id")
+    docs = docs.withColumns({"k1": docs["id"], "verdict": docs["id"]})
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r.id for r in kept.collect())
+    assert got in (["p", "r", "s", "v", "w", "x", "y"], ["p", "r", "t", "v", "w", "x", "y"])
 
 
 def test_components_of_a_path(spark):
