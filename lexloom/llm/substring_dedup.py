@@ -6,10 +6,11 @@ are judged on the input.
 
 1. *Anchors.*  Each window's anchor is its short word run with the smallest hash, so equal
    windows have equal anchors at equal offsets and about one word in fifteen is an anchor.
-   Anchors are counted over all documents.
+   Anchors are counted over all documents; they travel packed, a row per chunk and bucket.
 2. *Segments.*  Where an anchor occurs at least twice, the stretch of words whose windows have
-   that anchor is sent to the anchor's shard.  An anchor that occurs more than ``CROWD`` times
-   sends its windows one by one, keyed by the window, so that no shard depends on one phrase.
+   that anchor is sent to the anchor's shard, equal stretches of a chunk of documents together.
+   An anchor that occurs more than ``CROWD`` times sends its windows one by one, keyed by the
+   window, so that no shard depends on one phrase.
 3. *Automata.*  A shard takes its segments key by key.  Windows that occur at least twice are
    the confirmed recurring passages; the ends of each confirmed stretch are compiled into an
    Aho-Corasick automaton over word numbers, and the shard's segments stream through it to
@@ -18,29 +19,33 @@ are judged on the input.
    Automata are bounded by ``AUTOMATON_WORDS``; a shard builds as many as it needs.
 4. *Removal.*  Located stretches go back to their documents.
 
-Words are compared as text; hashes only route them.  Null, empty and short texts have no
-window and stay as they are.  Rows that repeat a ``doc_id`` are documents of their own in
-counting, and stretches located in one apply to the row with the same position only, since
-rows are numbered by (doc_id, text hash); two rows equal in both are equal copies and lose
-the same words.  Extra columns are kept by ``remove_repeats``.
+Words are compared as text; hashes only route them (windows of equal hash are compared word by
+word).  Null, empty and short texts have no window and stay as they are; very long texts are read
+whole.  Located stretches belong to a text (its 64-bit hash), since equal texts lose the same
+words; rows that repeat a ``doc_id`` and rows with a null id are documents of their own.  There
+are no ties: every occurrence goes.  An empty table gives an empty result.  Extra columns are kept
+by ``remove_repeats``, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import bucket_of, fresh_name, pieces
 from .storage import materialize
-from .wordtools import Words, chunks, window_hashes
+from .wordtools import Words, chunks, mix64, text_bytes, window_hashes
 
 WIDTH = 35
 #: Words in an anchor.
@@ -49,8 +54,8 @@ ANCHOR = 8
 CROWD = 5000
 #: Words of distinct segments compiled and searched at once.
 AUTOMATON_WORDS = 400_000
-
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Characters of text whose anchors meet in one bucket, about.
+BUCKET_CHARS = 40_000_000
 
 
 def _window_anchors(hashed: np.ndarray, bounds: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,9 +91,11 @@ def _runs(starts: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(starts))
 
 
-def _row_key(doc: int | None, text: str | None) -> int:
-    """Number of a row: equal for rows with equal id and equal text only."""
-    return xxhash.xxh3_64_intdigest(f"{doc}\0{text}".encode("utf-8", "surrogatepass")) >> 1
+def _row_keys(text: pa.Array) -> np.ndarray:
+    """Number of each row: the hash of its text."""
+    raw, offsets = text_bytes(text)
+    view = memoryview(np.ascontiguousarray(raw))
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.uint64, len(text))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
@@ -97,62 +104,105 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, Words(part.column("text"))
 
 
-def _anchor_rows(batches, width, anchor):
-    """(row, position in the row, anchor) of every anchor."""
+def _grouped(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket with the packed items of each column."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    bounds = np.append(first, len(bucket))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *(pieces(c[order], bounds) for c in columns)], ["bucket", *"abc"[: len(columns)]])
+
+
+def _regrouped(batches, kinds) -> Iterator[list[np.ndarray]]:
+    """The items of each bucket, of rows sorted by bucket."""
+    held, now = [], None
+
+    def whole():
+        return [np.frombuffer(b"".join(r[i] for r in held), t) for i, t in enumerate(kinds)]
+
+    for batch in batches:
+        for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != now and held:
+                yield whole()
+                held = []
+            now = b
+            held.append(row)
+    if held:
+        yield whole()
+
+
+def _anchor_rows(batches, width, anchor, buckets):
+    """Every anchor and the row that has it, by bucket of the anchor."""
     for part, words in _parts(batches):
         starts, at, grams = _window_anchors(words.hashes(), words.bounds, width, anchor)
-        where = np.unique(at)
-        row = np.searchsorted(words.bounds, where, side="right") - 1
-        keys = np.array([_row_key(d, t) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(grams[where].view(np.int64))], ["row", "anchor"])
+        if not len(starts):
+            continue
+        where = np.flatnonzero(np.bincount(at))
+        rows = _row_keys(part.column("text"))[np.searchsorted(words.bounds, where, side="right") - 1]
+        yield _grouped(bucket_of(grams[where], buckets), grams[where], rows)
+
+
+def _recurring_rows(batches, buckets, crowd):
+    """Anchors that occur at least twice and whether they are crowded, by bucket of the row."""
+    for anchor, row in _regrouped(batches, (np.uint64, np.uint64)):
+        order = np.lexsort((row, anchor))
+        anchor, row = anchor[order], row[order]
+        start = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        count = np.diff(np.append(start, len(anchor)))
+        count = np.repeat(count, count)
+        keep = (count > 1) & np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))
+        if keep.any():
+            yield _grouped(bucket_of(row[keep], buckets), row[keep], anchor[keep], (count[keep] > crowd).astype(np.uint8))
+
+
+def _known_rows(batches):
+    """(row, recurring anchors, crowded ones among them)."""
+    for row, anchor, crowded in _regrouped(batches, (np.uint64, np.uint64, np.uint8)):
+        order = np.argsort(row, kind="stable")
+        row, anchor, crowded = row[order], anchor[order], crowded[order]
+        start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        bounds = np.append(start, len(row))
+        yield pa.RecordBatch.from_arrays([pa.array(row[start].view(np.int64)), pieces(anchor, bounds), pieces(crowded, bounds)], ["row", "anchors", "crowded"])
 
 
 def _segment_rows(batches, width, anchor):
-    """(key, row, first word, words) of every stretch whose anchor recurs."""
-    keys: list[int] = []
-    rows: list[int] = []
-    begins: list[int] = []
-    texts: list[str] = []
-
-    def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(begins, pa.int32()), pa.array(texts, pa.string())], ["key", "row", "first", "segment"])
-        for x in (keys, rows, begins, texts):
-            x.clear()
-        return out
-
-    for batch in batches:
-        anchors, crowds, numbers = batch.column("anchors"), batch.column("crowded"), batch.column("row").to_pylist()
-        for i in range(batch.num_rows):
-            words = Words(batch.column("text").slice(i, 1))
-            starts, at, grams = _window_anchors(words.hashes(), words.bounds, width, anchor)
-            if not len(starts):
-                continue
-            edges = _runs(starts, at)
-            first = edges[:-1]
-            known = anchors[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-            order = np.argsort(known)
-            place = np.searchsorted(known[order], grams[at[first]])
-            place[place == len(known)] = 0
-            hit = known[order][place] == grams[at[first]]
-            crowd = crowds[i].values.to_numpy(zero_copy_only=False)[order][place]
-            plain = words.array.to_pylist()
-            for j in np.flatnonzero(hit).tolist():
-                a, b = int(starts[edges[j]]), int(starts[edges[j + 1] - 1])
-                if crowd[j]:
-                    for s in range(a, b + 1):
-                        t = " ".join(plain[s : s + width])
-                        keys.append(xxhash.xxh3_64_intdigest(t) >> 1)
-                        begins.append(s)
-                        texts.append(t)
-                else:
-                    keys.append(int(grams[at[edges[j]]]) >> 1)
-                    begins.append(a)
-                    texts.append(" ".join(plain[a : b + width]))
-            rows += [numbers[i]] * (len(keys) - len(rows))
-            if len(keys) >= 10_000:
-                yield flush()
-    if keys:
-        yield flush()
+    """(key, segment, occurrences, rows, first words) of every stretch whose anchor recurs, equal ones of a chunk together."""
+    for part, words in _parts(batches):
+        starts, at, grams = _window_anchors(words.hashes(), words.bounds, width, anchor)
+        if not len(starts):
+            continue
+        edges = _runs(starts, at)
+        first = edges[:-1]
+        own = grams[at[first]]
+        known = np.frombuffer(b"".join(part.column("anchors").to_pylist()), np.uint64)
+        crowds = np.frombuffer(b"".join(part.column("crowded").to_pylist()), np.uint8)
+        known, where = np.unique(known, return_index=True)
+        place = np.searchsorted(known, own)
+        place[place == len(known)] = 0
+        hit = np.flatnonzero(known[place] == own)
+        crowded = crowds[where][place] > 0
+        line = " ".join(words.array.to_pylist()).encode("utf-8", "surrogatepass")
+        offset = np.frombuffer(words.array.buffers()[1], np.int32, len(words) + 1).astype(np.int64) + np.arange(len(words) + 1)
+        row_at = np.searchsorted(words.bounds, starts[first], side="right") - 1
+        rows, begin = part.column("row").to_numpy(zero_copy_only=False), words.bounds[row_at]
+        found: dict[tuple[int, bytes], list] = {}
+        for j in hit.tolist():
+            a, b, base, row = int(starts[edges[j]]), int(starts[edges[j + 1] - 1]), int(begin[j]), int(rows[row_at[j]])
+            if crowded[j]:
+                cuts = ((s, line[offset[s] : offset[s + width] - 1]) for s in range(a, b + 1))
+                stretches = [(xxhash.xxh3_64_intdigest(t) >> 1, t, s) for s, t in cuts]
+            else:
+                stretches = [(int(own[j]) >> 1, line[offset[a] : offset[b + width] - 1], a)]
+            for key, text, s in stretches:
+                held = found.setdefault((key, text), [0, {}])
+                held[0] += 1
+                held[1][row, s - base] = None
+        if found:
+            places = [list(v[1]) for v in found.values()]
+            bounds = pa.array(np.append(0, np.cumsum([len(p) for p in places])).astype(np.int32))
+            cols = [pa.array([k for k, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary()), pa.array([v[0] for v in found.values()], pa.int64())]
+            cols += [pa.ListArray.from_arrays(bounds, pa.array([x[i] for p in places for x in p], t)) for i, t in ((0, pa.int64()), (1, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "segment", "n", "rows", "firsts"])
 
 
 class _Shard:
@@ -160,49 +210,80 @@ class _Shard:
 
     def __init__(self, width: int):
         self.width = width
-        self.texts: list[tuple[int, str]] = []
+        self.texts: list[bytes] = []
         self.places: list[list[tuple[int, int]]] = []
+        self.times: list[int] = []
         self.words = 0
 
-    def add(self, key: int, text: str, places: list[tuple[int, int]]) -> None:
-        self.texts.append((key, text))
+    def add(self, text: bytes, times: int, places: list[tuple[int, int]]) -> None:
+        self.texts.append(text)
+        self.times.append(times)
         self.places.append(places)
-        self.words += text.count(" ") + 1
+        self.words += text.count(b" ") + 1
+
+    def recurring(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Whether the window at each word recurs among all segments."""
+        flags = np.zeros(len(codes), bool)
+        inside = np.zeros(len(codes) + 1, np.int32)
+        np.add.at(inside, bounds[:-1], 1)
+        np.add.at(inside, bounds[1:] - self.width + 1, -1)  # a segment has at least one window
+        at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        hashed = window_hashes(mix64(codes.astype(np.uint64) + np.uint64(1)), self.width)[at]
+        times = np.array(self.times)[np.searchsorted(bounds, at, side="right") - 1]
+        order = np.argsort(hashed, kind="stable")
+        start = np.flatnonzero(np.append(True, hashed[order[1:]] != hashed[order[:-1]]))
+        size = np.diff(np.append(start, len(order)))
+        total = np.add.reduceat(times[order], start)
+        group = np.repeat(np.arange(len(start)), size)
+        near = np.flatnonzero(group[1:] == group[:-1])
+        one, other = at[order[near]], at[order[near + 1]]
+        differ = np.zeros(len(near), bool)
+        for i in range(self.width):
+            differ |= codes[one + i] != codes[other + i]
+        flags[at[order]] = (total > 1)[group]
+        for g in np.unique(group[near[differ]]).tolist():  # one hash, different words
+            mine = order[start[g] : start[g] + size[g]]
+            seen: Counter = Counter()
+            for k in mine.tolist():
+                seen[tuple(codes[at[k] : at[k] + self.width].tolist())] += int(times[k])
+            for k in mine.tolist():
+                flags[at[k]] = seen[tuple(codes[at[k] : at[k] + self.width].tolist())] > 1
+        return flags
 
     def locate(self) -> Iterator[tuple[int, int, int]]:
         """(row, first word, end) of the stretches to remove."""
+        if not self.texts:
+            return
         width = self.width
-        number: dict[str, int] = {}
-        segments = [tuple(number.setdefault(w, len(number)) for w in text.split(" ")) for _, text in self.texts]
-        seen: Counter = Counter()
-        for (key, _), seg, places in zip(self.texts, segments, self.places, strict=True):
-            for i in range(len(seg) - width + 1):
-                seen[seg[i : i + width]] += len(places)
+        words = Words(pa.array(self.texts, pa.binary()).cast(pa.string()))
+        codes, _ = words.codes()
+        bounds = words.bounds
+        flags = self.recurring(codes, bounds)
+        before, after = np.append(False, flags[:-1]), np.append(flags[1:], False)
+        before[bounds[:-1]] = False
+        edge = flags & ~(before & after)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for seg in segments:
-            flags = [seen[seg[i : i + width]] > 1 for i in range(len(seg) - width + 1)]
-            for i, flag in enumerate(flags):
-                if flag and (i == 0 or not flags[i - 1] or i + 1 == len(flags) or not flags[i + 1]):
-                    automaton.add_word(seg[i : i + width], width)
-        del seen
+        plain = codes.tolist()
+        for i in np.flatnonzero(edge).tolist():
+            automaton.add_word(tuple(plain[i : i + width]), width)
         if not len(automaton):
             return
         automaton.make_automaton()
-        for seg, places in zip(segments, self.places, strict=True):
+        for a, b, places in zip(bounds[:-1].tolist(), bounds[1:].tolist(), self.places, strict=True):
             begin = end = -1
-            for last, length in automaton.iter(seg):
-                a, b = last + 1 - length, last + 1
-                if a > end:
+            for last, length in automaton.iter(tuple(plain[a:b])):
+                x, y = last + 1 - length, last + 1
+                if x > end:
                     if end > 0:
                         yield from ((row, first + begin, first + end) for row, first in places)
-                    begin = a
-                end = b
+                    begin = x
+                end = y
             if end > 0:
                 yield from ((row, first + begin, first + end) for row, first in places)
 
 
 def _located_rows(batches, width, limit):
-    """Located stretches of segments sorted by key and text."""
+    """Located stretches of segments sorted by key and segment."""
     out: list[tuple[int, int, int]] = []
 
     def flush(rows):
@@ -211,23 +292,24 @@ def _located_rows(batches, width, limit):
     shard = _Shard(width)
     key = text = None
     places: list[tuple[int, int]] = []
-    size = 0
+    times = size = 0
 
     def close():
-        nonlocal places
-        if text is not None and places:
-            shard.add(key, text, places)
-        places = []
+        nonlocal places, times
+        if places:
+            shard.add(text, times, places)
+        places, times = [], 0
 
     for batch in batches:
-        for k, row, first, segment in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for k, segment, n, rows, firsts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if k != key or segment != text:
                 close()
                 if k != key and shard.words >= limit:
                     out += shard.locate()
                     shard = _Shard(width)
-                key, text, size = k, segment, segment.count(" ") + 1
-            places.append((row, first))
+                key, text, size = k, segment, segment.count(b" ") + 1
+            places += zip(rows, firsts, strict=True)
+            times += n
             if len(places) > 2000:  # a segment seen twice is removed as a whole; two places stand for the rest
                 out += ((r, f, f + size) for r, f in places[2:])
                 del places[2:]
@@ -240,94 +322,79 @@ def _located_rows(batches, width, limit):
         yield flush(out)
 
 
-def _merged(first: list[int], end: list[int]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(first, end, strict=True)):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
-    return out
+def _kept(part: pa.RecordBatch, firsts: str, ends: str) -> tuple[Words, np.ndarray, pa.Array]:
+    """(words, how many of each row go, what is left of each text joined by one space)."""
+    words = Words(part.column("text"))
+    change = np.zeros(len(words) + 1, np.int64)
+    base = np.repeat(words.bounds[:-1], pc.fill_null(pc.list_value_length(part.column(firsts)), 0).to_numpy(zero_copy_only=False))
+    np.add.at(change, base + part.column(firsts).flatten().to_numpy(zero_copy_only=False), 1)
+    np.add.at(change, base + part.column(ends).flatten().to_numpy(zero_copy_only=False), -1)
+    stays = np.cumsum(change)[:-1] == 0
+    before = np.append(0, np.cumsum(stays))
+    bounds = before[words.bounds]
+    left = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), words.array.filter(pa.array(stays))), " ")
+    return words, np.diff(words.bounds) - np.diff(bounds), left
 
 
-def _result_rows(batches):
+def _result_rows(batches, firsts, ends):
     """Word counts and the digest of what is left of every document."""
     for batch in batches:
         for part in chunks(batch):
-            rows = []
-            firsts, ends = part.column("firsts").to_pylist(), part.column("ends").to_pylist()
-            words = Words(part.column("text"))
-            for i, (a, b) in enumerate(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)):
-                own = words.array.slice(a, b - a).to_pylist()
-                cuts = _merged(firsts[i] or [], ends[i] or [])
-                removed = sum(y - x for x, y in cuts)
-                for x, y in reversed(cuts):
-                    del own[x:y]
-                left = " ".join(own)
-                rows.append((b - a, removed, hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest()))
-            cols = [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-
-def _cleaned_texts(batches, columns):
+            words, removed, left = _kept(part, firsts, ends)
+            sha = [hashlib.sha256(x).hexdigest() for x in left.cast(pa.binary()).to_pylist()]
+            cols = [part.column("doc_id"), pa.array(np.diff(words.bounds).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
+def _cleaned_texts(batches, columns, firsts, ends):
     """The batch with covered words cut out of its texts; untouched texts stay byte for byte."""
     for batch in batches:
         for part in chunks(batch):
-            firsts, ends = part.column("firsts").to_pylist(), part.column("ends").to_pylist()
-            texts = part.column("text").to_pylist()
-            for i, (a, b) in enumerate(zip(firsts, ends, strict=True)):
-                if a:
-                    own = Words(part.column("text").slice(i, 1)).array.to_pylist()
-                    for x, y in reversed(_merged(a, b)):
-                        del own[x:y]
-                    texts[i] = " ".join(own)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in columns], columns)
+            _, removed, left = _kept(part, firsts, ends)
+            text = pc.if_else(pa.array(removed > 0), left.cast(pa.string()), part.column("text").cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in columns], columns)
 
 
-def located(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
-    """``(row, first, end)``: stretches of words to remove, by row number (see ``_row_key``)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors = rows.mapInArrow(functools.partial(_anchor_rows, width=width, anchor=anchor), "row long, anchor long")
-    dealt = anchors.repartition("anchor")  # one exchange for the count and for the join with it
-    total = dealt.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > CROWD).alias("crowded"))
-    recurring = dealt.join(total, "anchor").groupBy("row").agg(F.collect_set(F.struct("anchor", "crowded")).alias("a"))
-    keyed = rows.mapInArrow(_with_row, "row long, text string")
-    marked = keyed.join(recurring, "row").select("row", "text", F.col("a.anchor").alias("anchors"), F.col("a.crowded").alias("crowded"))
-    segments = marked.mapInArrow(functools.partial(_segment_rows, width=width, anchor=anchor), "key long, row long, first int, segment string")
-    sharded = segments.repartition("key").sortWithinPartitions("key", "segment")
-    return sharded.mapInArrow(functools.partial(_located_rows, width=width, limit=AUTOMATON_WORDS), "row long, first int, end int")
+def _with_row_columns(batches, columns, name):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_row_keys(batch.column("text")).view(np.int64)), *(batch.column(c) for c in columns)], [name, *columns])
 
 
-def _with_row(batches):
-    for batch in batches:
-        docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        keys = [_row_key(d, t) for d, t in zip(docs, texts, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("text")], ["row", "text"])
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the number of each row."""
+    schema = f"`{name}` long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(functools.partial(_with_row_columns, columns=docs.columns, name=name), schema)
 
 
-def _with_row_columns(batches, columns):
-    for batch in batches:
-        keys = [_row_key(d, t) for d, t in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(batch.column(c) for c in columns)], ["_row", *columns])
+def located(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
+    """``(row, first, end)``: stretches of words to remove, by row number (see ``_row_keys``)."""
+    texts = docs.select("text")
+    buckets = max(1, math.ceil((texts.agg(F.sum(F.length("text"))).first()[0] or 0) / BUCKET_CHARS))
+    anchors = texts.mapInArrow(functools.partial(_anchor_rows, width=width, anchor=anchor, buckets=buckets), "bucket long, a binary, b binary")
+    recurring = anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(functools.partial(_recurring_rows, buckets=buckets, crowd=CROWD), "bucket long, a binary, b binary, c binary")
+    known = recurring.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_known_rows, "row long, anchors binary, crowded binary")
+    marked = _numbered(texts, "row").join(known, "row").select("row", "text", "anchors", "crowded")
+    segments = marked.mapInArrow(functools.partial(_segment_rows, width=width, anchor=anchor), "key long, segment binary, n long, rows array<long>, firsts array<int>")
+    sharded = segments.repartition("key").sortWithinPartitions("key", "segment")
+    return sharded.mapInArrow(functools.partial(_located_rows, width=width, limit=AUTOMATON_WORDS), "row long, first int, end int")
 
 
-def _with_cuts(docs: DataFrame, width: int, anchor: int) -> DataFrame:
+def _with_cuts(docs: DataFrame, width: int, anchor: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with the stretches to remove, and the names of the columns of their beginnings and ends."""
+    row, firsts, ends = (fresh_name(n, docs.columns) for n in ("row", "firsts", "ends"))
     cuts = materialize(located(docs, width, anchor), "cuts")
-    per_row = cuts.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("first", "end")).alias("c")).select("_row", F.col("c.first").alias("firsts"), F.col("c.end").alias("ends"))
-    base = docs.drop("_row", "firsts", "ends")
-    schema = "_row long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(functools.partial(_with_row_columns, columns=base.columns), schema).join(per_row, "_row", "left")
+    per_row = cuts.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct("first", "end")).alias("c")).select(row, F.col("c.first").alias(firsts), F.col("c.end").alias(ends))
+    return _numbered(docs, row).join(per_row, row, "left"), firsts, ends
 
 
 def summary(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256)`` for every row of ``docs(doc_id, text)``."""
-    joined = _with_cuts(docs.select("doc_id", "text"), width, anchor)
-    return joined.mapInArrow(_result_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    joined, firsts, ends = _with_cuts(docs.select("doc_id", "text"), width, anchor)
+    return joined.mapInArrow(functools.partial(_result_rows, firsts=firsts, ends=ends), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with the covered words cut out of ``text`` (kept words joined by one space); same columns."""
-    joined = _with_cuts(docs, width, anchor)
+    joined, firsts, ends = _with_cuts(docs, width, anchor)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(functools.partial(_cleaned_texts, columns=docs.columns), schema)
+    return joined.mapInArrow(functools.partial(_cleaned_texts, columns=docs.columns, firsts=firsts, ends=ends), schema)

@@ -72,3 +72,25 @@ def test_whole_table_and_cleaned_texts(spark):
 
 def test_empty(spark):
     assert S.summary(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_clashing_names_null_ids_and_long_texts(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(60))
+    filler = [" ".join(f"f{rng.randrange(10**6)}" for _ in range(n)) for n in (120_000, 50, 3)]
+    rows = [(1, f"{filler[0]} {passage} end"), (1, f"{passage} {filler[1]}"), (None, f"{filler[2]}\n{passage}"), (None, None), (4, "same words " * 30), (4, "same words " * 30)]
+    docs = spark.createDataFrame([(d, t, "x", 1, "y", "z") for d, t in rows], "doc_id long, text string, firsts string, ends int, row string, _row string")
+    got = S.remove_repeats(docs)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    want = [(1, f"{filler[0]} end"), (1, filler[1]), (None, filler[2]), (None, None), (4, ""), (4, "")]
+    assert sorted(left, key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, S.summary(docs).collect()), key=str) == brute(rows)
+
+
+def test_windows_of_equal_hash_are_compared_by_words(monkeypatch):
+    monkeypatch.setattr(S, "window_hashes", lambda words, width: S.np.zeros(max(0, len(words) - width + 1), S.np.uint64))
+    shard = S._Shard(3)
+    for text in ("a b c d", "x y z", "b c d", "q r s t"):
+        shard.add(text.encode(), 1, [(len(shard.texts), 0)])
+    assert sorted(shard.locate()) == [(0, 1, 4), (2, 0, 3)]
