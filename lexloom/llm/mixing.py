@@ -1,14 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Each source is cut into blocks of ``block_size`` documents in a random but fixed order.  With
-weight ``w`` (a share of all weights) block ``k`` of a source is released at slot
+weight ``w`` (its exact share of all weights) block ``k`` of a source is released at slot
 ``floor(k / w)`` and due at ``ceil((k + 1) / w)``.  Slots go to the released block with the
 earliest deadline, so after any number of slots each source is less than one block away from
 its target.
 
-Weights are whole numbers, so the schedule repeats after as many slots as their sum.  One
-period is scheduled on the driver (at most ``LONGEST_PERIOD`` slots, whatever the data) and a
-block finds its slot by arithmetic: period number times period length plus its place there.
+Weights are exact: floats count as the decimal number they print, and all are scaled to whole
+numbers.  The schedule repeats after as many slots as their sum.  At most one such period of a
+phase is scheduled, and never more slots than there are blocks, with a heap of one entry per
+source; a block finds its slot by arithmetic: period number times period length plus its place
+there.  Weights with a long period (thousandths of very uneven sizes) cost the driver one number
+per block, so larger blocks suit a very large corpus.  Slots become a table with a row per block,
+which is joined with the documents.
 
 A source that runs out leaves the schedule.  The others go on with their weights in a new
 phase, so every document gets a place and none is dropped or repeated.  The number of phases
@@ -16,55 +20,61 @@ is at most the number of weighted sources.
 
 Sources are numbered within hash buckets of bounded size whose counts are added up first, so
 one source may hold most rows.  Sources without a weight of their own, and null sources, share
-the stream ``OTHER``.  Sources of weight 0 are placed after all others, in one stream.
-Ties of the order are broken by doc_id; repeated rows are placed one by one.  Empty tables give
-an empty result; a column ``source`` is required, other columns pass by.
+the stream ``OTHER``.  Sources of weight 0 and less are placed after all others, in one stream.
+Ties of deadlines go to the larger weight, then to the name; ties of the order of documents are
+broken by doc_id and then by the hash of all columns; repeated rows are placed one by one.  Null
+ids are ids like others.  Empty tables give an empty result; columns ``doc_id`` and ``source`` are
+required, texts are not read, other columns pass by.  A column of the schedule whose name is taken
+gets marks at its end.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
+from bisect import bisect_left
+from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil, gcd
+from math import ceil, gcd, lcm
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .packing import fresh_name
 from .storage import materialize
 
 OTHER = "(other)"
-#: Slots of one period, at most; weights with a larger sum are rounded to it.
-LONGEST_PERIOD = 10_000
+LAST = "(last)"
+#: Blocks of one source that a task spreads out at once.
+PIECE = 65_536
 #: Documents that one window task numbers, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def whole_weights(weights: dict[str, float]) -> dict[str, int]:
-    """Proportional whole numbers with a sum of at most ``LONGEST_PERIOD``."""
-    exact = {s: Fraction(w).limit_denominator(1000) for s, w in weights.items() if w > 0}
-    if not exact:
-        return {}
-    scale = 1
-    for f in exact.values():
-        scale = scale * f.denominator // gcd(scale, f.denominator)
-    out = {s: int(f * scale) for s, f in exact.items()}
-    shared = gcd(*out.values())
-    out = {s: n // shared for s, n in out.items()}
-    total = sum(out.values())
-    return out if total <= LONGEST_PERIOD else {s: max(1, n * (LONGEST_PERIOD - len(out)) // total) for s, n in out.items()}
-
-
-def period(weights: dict[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
+    """Whole numbers in exactly the proportion of the weights above 0."""
+    exact = {s: Fraction(str(w)) if isinstance(w, float) else Fraction(w) for s, w in weights.items()}
+    exact = {s: w for s, w in exact.items() if w > 0}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    out = {s: int(w * scale) for s, w in exact.items()}
+    shared = gcd(*out.values()) or 1
+    return {s: n // shared for s, n in out.items()}
+
+
+def earliest_deadlines(weights: dict[str, int]) -> Iterator[str]:
+    """The source of each slot: earliest deadline first among released blocks, without end."""
     total = sum(weights.values())
-    done = dict.fromkeys(weights, 0)
-    out = []
-    for slot in range(total):
-        ready = [s for s, w in weights.items() if done[s] < w and done[s] * total // w <= slot]
-        best = min(ready, key=lambda s: (ceil(Fraction((done[s] + 1) * total, weights[s])), -weights[s], s))
-        done[best] += 1
-        out.append(best)
-    return out
+    coming = [(0, s, 0) for s in weights]  # release, source, block
+    heapq.heapify(coming)
+    ready: list[tuple[int, int, str, int]] = []  # deadline, -weight, source, block
+    for slot in itertools.count():
+        while coming and coming[0][0] <= slot:
+            _, s, k = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(k + 1) * total // weights[s]), -weights[s], s, k))
+        _, _, s, k = heapq.heappop(ready)
+        yield s
+        heapq.heappush(coming, ((k + 1) * total // weights[s], s, k + 1))
 
 
 def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[dict]:
@@ -76,83 +86,103 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[dict]:
     had = dict.fromkeys(left, 0)
     out, start = [], 0
     while left:
-        live = {s: weights[s] for s in left}
-        slots = period(live)
-        total = len(slots)
+        live = whole_weights({s: weights[s] for s in left})
+        total = sum(live.values())
         places: dict[str, list[int]] = {s: [] for s in live}
-        for i, s in enumerate(slots):
-            places[s].append(i)
-        ends = {s: (left[s] - 1) // live[s] * total + places[s][(left[s] - 1) % live[s]] + 1 for s in live}
-        length = min(ends.values())
+        length = None
+        for slot, s in enumerate(itertools.islice(earliest_deadlines(live), min(total, sum(left.values())))):
+            places[s].append(slot)
+            if len(places[s]) == left[s]:
+                length = slot + 1
+                break
+        if length is None:
+            length = min((left[s] - 1) // w * total + places[s][(left[s] - 1) % w] + 1 for s, w in live.items())
         full, rest = divmod(length, total)
-        used = {s: full * live[s] + sum(p < rest for p in places[s]) for s in live}
-        out.append({"start": start, "total": total, "places": places, "weights": live, "before": dict(had), "used": used})
+        used = {s: full * w + bisect_left(places[s], rest) for s, w in live.items()}
+        out.append({"start": start, "total": total, "places": places, "weights": live, "before": {s: had[s] for s in live}, "used": used})
         start += length
-        for s in list(left):
-            had[s] += used[s]
-            left[s] -= used[s]
+        for s, n in used.items():
+            had[s] += n
+            left[s] -= n
             if not left[s]:
                 del left[s]
     return out
 
 
-def _numbered(docs: DataFrame, stream, seed: int) -> tuple[DataFrame, dict[str, int]]:
+def places(spark: SparkSession, plan: list[dict]) -> DataFrame:
+    """``(stream, block, phase, slot, release, deadline)`` of every block of the plan."""
+    rows = []
+    for i, p in enumerate(plan):
+        for s, w in p["weights"].items():
+            if p["used"][s]:  # the period counts only where it is over, so that nothing here exceeds the number of blocks
+                slots, total = p["places"][s], p["total"]
+                due = [(k * total // w, -(-(k + 1) * total // w)) for k in range(len(slots))]
+                rows.append((i, s, p["before"][s], p["used"][s], p["start"], total if p["used"][s] > len(slots) else 0, slots, [r for r, _ in due], [d for _, d in due]))
+    whole = spark.createDataFrame(rows, "phase int, stream string, before long, used long, start long, total long, slots array<long>, releases array<long>, deadlines array<long>")
+    cut = whole.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("used") - 1, F.lit(PIECE)))).repartition("stream", "phase", "piece")
+    each = cut.withColumn("nth", F.explode(F.sequence("piece", F.least(F.col("used"), F.col("piece") + PIECE) - 1)))
+    at = lambda of: F.expr(f"start + nth div size({of}) * total + get({of}, cast(nth % size({of}) as int))")
+    return each.select("stream", (F.col("before") + F.col("nth")).alias("block"), "phase", at("slots").alias("slot"), at("releases").alias("release"), at("deadlines").alias("deadline"))
+
+
+def _numbered(docs: DataFrame, stream, seed: int, doc_id: str) -> tuple[DataFrame, dict[str, int]]:
     """Rows with their stream and number in it (random order fixed by ``seed``), and rows per stream."""
-    keyed = docs.withColumns({"_stream": stream, "_order": F.xxhash64(F.lit(seed), "doc_id")})
+    keyed = docs.withColumns({"_stream": stream, "_order": F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 1)})
     counts = dict(keyed.groupBy("_stream").count().collect())  # one row per weighted source
     if not counts:
         return keyed.withColumn("_number", F.lit(0).cast("long")), {}
     spark = docs.sparkSession
     sizes = spark.createDataFrame([(s, max(1, ceil(n / BUCKET_ROWS))) for s, n in counts.items()], "_stream string, _buckets long")
-    unsigned = F.shiftrightunsigned("_order", 1).cast("double") / F.lit(float(1 << 63))
-    keyed = keyed.join(F.broadcast(sizes), "_stream").withColumn("_bucket", F.least(F.floor(unsigned * F.col("_buckets")), F.col("_buckets") - 1)).drop("_buckets")
-    keyed = keyed.withColumn("_order", F.shiftrightunsigned("_order", 1))
+    even = F.col("_order").cast("double") / F.lit(float(1 << 63))
+    keyed = keyed.join(F.broadcast(sizes), "_stream").withColumn("_bucket", F.least(F.floor(even * F.col("_buckets")), F.col("_buckets") - 1)).drop("_buckets")
     per = keyed.groupBy("_stream", "_bucket").count()
     before = per.select("_stream", "_bucket", (F.sum("count").over(Window.partitionBy("_stream").orderBy("_bucket")) - F.col("count")).alias("_before"))
-    inner = Window.partitionBy("_stream", "_bucket").orderBy("_order", "doc_id")
+    whole = F.xxhash64(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    inner = Window.partitionBy("_stream", "_bucket").orderBy("_order", doc_id, whole)
     ranked = keyed.withColumn("_rank", F.row_number().over(inner) - 1)
     return ranked.join(before, ["_stream", "_bucket"]).withColumn("_number", F.col("_before") + F.col("_rank")).drop("_before", "_rank", "_bucket", "_order"), counts
 
 
 def schedule(docs: DataFrame, weights: dict[str, float], block_size: int = 64, seed: int = 7, other: float = 1.0) -> DataFrame:
-    """``docs`` with ``stream``, ``block``, ``slot``, ``release``, ``deadline``, ``phase`` and ``position``.
+    """``docs`` with ``stream``, ``block``, ``phase``, ``release``, ``deadline``, ``slot`` and ``position``.
 
     ``position`` numbers the documents of the mix; release and deadline are slots of the phase in
     which the block was placed.  ``other`` is the weight of all unlisted sources together.
     """
-    names = ["stream", "block", "phase", "release", "deadline", "slot", "position"]
-    docs = docs.drop(*names)
-    known = {s: w for s, w in weights.items() if w > 0}
+    columns = docs.columns
+    rows = docs.toDF(*(f"_c{i}" for i in range(len(columns))))
+    doc_id, source = (f"_c{columns.index(c)}" for c in ("doc_id", "source"))
+    live = {s: w for s, w in weights.items() if w > 0} | ({OTHER: other} if other > 0 else {})
+    named = [s for s in live if s != OTHER]
     zero = [s for s, w in weights.items() if w <= 0]
-    source = F.col("source")
-    stream = F.when(source.isin(list(known)), source).when(source.isin(zero), F.lit("(last)")).otherwise(F.lit(OTHER)) if weights else F.lit(OTHER)
-    rows, counts = _numbered(docs, stream, seed)
-    whole = whole_weights(known | ({OTHER: other} if other > 0 else {}))
+    stream = F.when(F.col(source).isin(named), F.col(source)) if named else F.when(F.lit(False), F.lit(""))
+    stream = (stream.when(F.col(source).isin(zero), F.lit(LAST)) if zero else stream).otherwise(F.lit(OTHER))
+    numbered, counts = _numbered(rows, stream, seed, doc_id)
     blocks = {s: ceil(n / block_size) for s, n in counts.items()}
-    plan = phases(whole, blocks)
-    end = plan[-1]["start"] + sum(plan[-1]["used"].values()) if plan else 0
-    for late in sorted(set(blocks) - set(whole)):
-        plan.append({"start": end, "total": 1, "places": {late: [0]}, "weights": {late: 1}, "before": {late: 0}, "used": {late: blocks[late]}})
-        end += blocks[late]
-    table = [
-        (i, s, p["before"][s], p["before"][s] + p["used"][s], p["start"], p["total"], p["weights"][s], p["places"][s]) for i, p in enumerate(plan) for s in p["weights"] if p["used"][s]
-    ]
-    spark = docs.sparkSession
-    known_phases = spark.createDataFrame(table, "phase int, _stream string, _from long, _to long, _start long, _total long, _weight long, _places array<int>")
-    placed = rows.withColumn("block", F.floor(F.col("_number") / block_size)).join(F.broadcast(known_phases.withColumnRenamed("_stream", "_s")), F.expr("_stream = _s and block >= _from and block < _to"))
-    nth = F.col("block") - F.col("_from")
-    placed = placed.withColumns(
-        {
-            "slot": F.col("_start") + F.floor(nth / F.col("_weight")) * F.col("_total") + F.get("_places", (nth % F.col("_weight")).cast("int")),
-            "release": F.col("_start") + F.floor(nth * F.col("_total") / F.col("_weight")),
-            "deadline": F.col("_start") + F.ceil((nth + 1) * F.col("_total") / F.col("_weight")),
-        }
-    )
-    placed = placed.withColumn("position", F.col("slot") * block_size + F.col("_number") % block_size)
-    return placed.select(*docs.columns, F.col("_stream").alias("stream"), "block", "phase", "release", "deadline", "slot", "position")
+    plan = phases(whole_weights(live), blocks)
+    placed = places(docs.sparkSession, plan)
+    end = sum(n for s, n in blocks.items() if s in live)
+    numbered = numbered.withColumns({"_block": F.floor(F.col("_number") / block_size), "_inner": F.col("_number") % block_size})
+    joined = numbered.where(F.col("_stream").isin(list(live))).join(placed, (F.col("_stream") == F.col("stream")) & (F.col("_block") == F.col("block")))
+    names = {n: fresh_name(n, columns) for n in ("stream", "block", "phase", "release", "deadline", "slot", "position")}
+
+    def result(df: DataFrame, slot) -> DataFrame:
+        given = {"position": slot * block_size + F.col("_inner")}
+        return df.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)), *(given.get(n, F.col(n)).alias(to) for n, to in names.items()))
+
+    out = result(joined, F.col("slot"))
+    last = len(plan)
+    for late in sorted(set(blocks) - set(live)):
+        at = F.lit(end) + F.col("_block")
+        alone = numbered.where(F.col("_stream") == late).withColumns({"stream": F.col("_stream"), "block": F.col("_block"), "phase": F.lit(last), "release": at, "deadline": at + 1, "slot": at})
+        out = out.unionByName(result(alone, F.col("slot")))
+        end, last = end + blocks[late], last + 1
+    return out
 
 
 def in_mix_order(docs: DataFrame, weights: dict[str, float], block_size: int = 64, seed: int = 7) -> DataFrame:
     """``docs`` in the order of the mix (range partitions, sorted within); same columns and rows."""
-    placed = materialize(schedule(docs, weights, block_size, seed).select(*docs.columns, F.col("position").alias("_position")), "mix")
-    return placed.repartitionByRange(F.col("_position")).sortWithinPartitions("_position").drop("_position")
+    position = fresh_name("position", docs.columns)
+    placed = schedule(docs, weights, block_size, seed)
+    placed = materialize(placed.select(*docs.columns, F.col(placed.columns[-1]).alias(position)), "mix")
+    return placed.repartitionByRange(F.col(position)).sortWithinPartitions(position).drop(position)
