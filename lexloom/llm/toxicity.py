@@ -12,7 +12,9 @@ scored in one pass without a shuffle.
 Null and empty texts and texts without words have the score of the bias alone.  Repeated
 rows are scored alike; an empty table gives an empty result; other columns pass by unread.
 Labels are learnt only from rows with a 0 or 1 label and a document; an unlabelled or
-one-class corpus gives the constant score 0.
+one-class corpus gives the constant score 0, and labelled documents that share no n-gram
+(all of them empty, say) the constant score 0.5.  Where rows repeat a labelled ``doc_id`` the text
+with the smallest hash is learnt from.  Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -82,13 +84,14 @@ def _segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class _Sparse:
-    """A sparse matrix that multiplies dense ones from the left, and its transpose."""
+    """A sparse matrix that multiplies dense ones from the left, and its transpose; ``rows`` must be sorted."""
 
     def __init__(self, rows, cols, values, shape):
-        self.parts = []
-        for a, b, n in ((rows, cols, shape[0]), (cols, rows, shape[1])):
-            order = np.argsort(a, kind="stable")
-            self.parts.append((np.searchsorted(a[order], np.arange(n + 1)), b[order], values[order].astype(np.float32)[:, None]))
+        order = np.argsort(cols, kind="stable").astype(np.int32)
+        self.parts = [
+            (np.searchsorted(rows, np.arange(shape[0] + 1)), cols, values[:, None]),
+            (np.searchsorted(cols[order], np.arange(shape[1] + 1)), rows[order], values[order][:, None]),
+        ]
 
     def dot(self, x, transpose=False):
         first, cols, values = self.parts[transpose]
@@ -134,6 +137,19 @@ def _pieces(text: str | None, rng: np.random.Generator) -> list[str]:
     return out
 
 
+def _bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams of a text, share of each), the average of its words' averages."""
+    words = Words(pa.array([text], pa.string()))
+    codes, distinct = words.codes()
+    if not len(codes):
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    first, bucket = subwords(distinct)
+    size = np.diff(first)
+    part = np.bincount(codes, minlength=len(distinct)) / len(codes) / size
+    own, where = np.unique(bucket, return_inverse=True)
+    return own.astype(np.int32), np.bincount(where, weights=np.repeat(part, size)).astype(np.float32)
+
+
 def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 0) -> Model:
     """Fit n-gram vectors and softmax together (Adam on the whole sample).
 
@@ -147,25 +163,26 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
     whole = len(texts)
     texts = texts + [p for t, x in zip(texts, labels, strict=True) if not x for p in _pieces(t, rng)]
     y = np.array(labels + [0] * (len(texts) - whole), dtype=np.int64)
-    doc_at, gram_at, share = [], [], []
+    bags: list[tuple[np.ndarray, np.ndarray]] = []
+    held = np.zeros(BUCKETS, np.int32)
     for i, text in enumerate(texts):
-        words = Words(pa.array([text], pa.string()))
-        codes, distinct = words.codes()
-        if not len(codes):
-            continue
-        first, bucket = subwords(distinct)
-        size = np.diff(first)
-        part = np.bincount(codes, minlength=len(distinct)) / len(codes) / size
-        own, where = np.unique(bucket, return_inverse=True)
-        gram_at.append(own.astype(np.int32))
-        share.append(np.bincount(where, weights=np.repeat(part, size)).astype(np.float32))
-        doc_at.append(np.full(len(own), i, np.int32))
-    doc_at, gram_at, share = np.concatenate(doc_at), np.concatenate(gram_at), np.concatenate(share)
-    held = np.bincount(gram_at[doc_at < whole], minlength=BUCKETS)
+        bag = _bag(text)
+        if i < whole:
+            held[bag[0]] += 1
+        else:  # all whole documents are counted by now
+            bag = tuple(x[held[bag[0]] >= LEAST_DOCUMENTS] for x in bag)
+        bags.append(bag)
     often = held >= LEAST_DOCUMENTS
-    keep = often[gram_at]
     used = np.flatnonzero(often)
-    x = _Sparse(doc_at[keep], np.searchsorted(used, gram_at[keep]), share[keep], (len(y), len(used)))
+    if not len(used):
+        return Model(np.zeros(BUCKETS), 0.0)
+    number = (np.cumsum(often) - 1).astype(np.int32)
+    bags = [(number[g[often[g]]], s[often[g]]) for g, s in bags]
+    doc_at = np.repeat(np.arange(len(bags), dtype=np.int32), [len(g) for g, _ in bags])
+    gram_at = np.concatenate([g for g, _ in bags])
+    share = np.concatenate([s for _, s in bags])
+    del bags
+    x = _Sparse(doc_at, gram_at, share, (len(y), len(used)))
     del doc_at, gram_at, share
 
     params = [rng.normal(0, 0.01, (len(used), DIMENSIONS)).astype(np.float32), rng.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)]
@@ -213,7 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     usable = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out())
     picked = [usable.where(f"toxic = {t}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", F.lit(t).alias("toxic")) for t in (0, 1)]
     ids = picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "t.text", "toxic")
     found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_train_rows, "weights binary, bias double").collect()
     return Model(np.frombuffer(found[0].weights, np.float32).astype(np.float64), found[0].bias) if found else train([], [])
 

@@ -68,3 +68,21 @@ def test_a_toxic_word_of_few_documents_counts(monkeypatch):
     assert s[0] > 0.5 > s[1]
     first, bucket = T.subwords(pa.array(["zyxovurp"]))
     assert (m.weights[bucket] == 0).mean() > 0.9  # two documents, many pieces
+
+
+def test_only_empty_texts_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(i, None if i % 2 else " ") for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    assert {r.score for r in T.predictions(docs, labels).collect()} == {0.5}
+    rows = [(i % 40, f"{'grumblor' if i % 2 else 'taber'} loneno {i}") for i in range(200)]
+    scores = []
+    for parts in (1, 7):
+        many = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        scores.append(sorted(map(tuple, T.predictions(many, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")).collect())))
+    assert scores[0] == scores[1] and len(scores[0]) == 200
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "taber " * 300_000), (2, "x" * 2_000_000), (3, "taber"), (3, "taber")], "doc_id long, text string")
+    got = [r.score for r in T.score(docs, T.train(["taber loneno", "grumblor misilo"] * 9, [0, 1] * 9)).orderBy("doc_id").collect()]
+    assert len(got) == 4 and abs(got[0] - got[2]) < 1e-6 and got[2] == got[3] < 0.5
