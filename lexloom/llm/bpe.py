@@ -10,13 +10,16 @@
 4. *Reassemble by position.*  Block by block, ids and positions give each document's ids.
 
 The blocks are shuffled once; that exchange serves both the encoding and the reassembly.
-Blocks are named by their content: should Spark run the cutting again and find the rows in
-another order, the names no longer match and the job fails instead of mixing up words.
+Blocks are named by their content.  A task that is run again after a lost executor reads the same
+file splits in the same order and makes the same blocks; an input whose order changes from read to
+read must be written to a table first.  Where that was not done the names no longer match, and the
+job fails: words never go to another document and no document is lost.
 
 Decoding looks every id up in the token-byte table, whose size is that of the vocabulary,
 and concatenates the bytes.
 
-Null texts count as empty: no ids, no bytes.  Repeated rows and repeated ids are kept as
+Null texts count as empty: no ids, no bytes.  Very long texts are read whole; they make blocks of
+their own size.  There are no ties: equal words have equal ids.  Repeated rows and repeated ids are kept as
 they are; columns other than the id and the text are ignored; an empty table gives an
 empty result.  Each pre-token is encoded separately and special tokens are never made.
 """
@@ -249,6 +252,8 @@ def _documents(left: pa.Table, right: pa.Table) -> Iterator[tuple[int | None, in
     """(doc_id, place, ids) of every document of a block."""
     left = left.filter(pc.less(left.column("first"), 0))
     if not left.num_rows:
+        if right.num_rows:
+            raise RuntimeError("words came back to a block that is not there: its input was read in another order")
         return
     lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for first, words, packed in zip(*(right.column(c).to_pylist() for c in ("first", "words", "packed")), strict=True):

@@ -47,3 +47,14 @@ def test_round_trip_and_empty_table(spark):
     back = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(bpe.encode(docs, PATH), PATH).collect()}
     assert back == {i: t or "" for i, t in rows}
     assert bpe.digests(docs.limit(0), PATH).collect() == []
+
+
+def test_words_of_a_missing_block_are_an_error():
+    left = pa.table({"first": pa.array([5], pa.int64())})
+    right = pa.table({"first": pa.array([0], pa.int64())})
+    assert list(bpe._documents(left, right.slice(0, 0))) == []
+    try:
+        list(bpe._documents(left, right))
+    except RuntimeError:
+        return
+    raise AssertionError("the words were dropped")
