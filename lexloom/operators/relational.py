@@ -29,7 +29,8 @@ def backfill_merge(main: DataFrame, other: DataFrame, key: str, fill: list[str],
     """Rows of ``main`` with nulls of ``fill`` taken from ``other`` by key, then ``other``'s rows whose key is new.
 
     Keys are trimmed; null keys match nothing.  Each filled column takes its own first non-null
-    row of ``other``; all of them come from one grouped pass over it.
+    row of ``other`` by ``order``, and of rows equal in that the smallest value; all of them come from
+    one grouped pass over it.
     """
     keyed = lambda d: d.withColumn("_key", F.trim(F.col(key).cast("string")))
     a, b = keyed(main), keyed(other)

@@ -156,7 +156,7 @@ _MAIN = "SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE
 _SIDE = "SELECT l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE 'D' || CAST(l_partkey % 700 AS VARCHAR(20)) || ' ' END AS docket_number, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_suppkey END AS district_judge_id, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS district_judge, l_tax FROM lineitem"
 
 
-@query(f"""WITH a AS ({_MAIN}), b AS ({_SIDE}), k AS (SELECT trim(docket_number) AS k, arg_min(district_judge_id, ord) FILTER (district_judge_id IS NOT NULL) AS i, arg_min(district_judge, ord) FILTER (district_judge IS NOT NULL) AS j FROM b WHERE docket_number IS NOT NULL GROUP BY 1)
+@query(f"""WITH a AS ({_MAIN}), b AS ({_SIDE}), k AS (SELECT trim(docket_number) AS k, (min({{'o': ord, 'v': district_judge_id}}) FILTER (district_judge_id IS NOT NULL)).v AS i, (min({{'o': ord, 'v': district_judge}}) FILTER (district_judge IS NOT NULL)).v AS j FROM b WHERE docket_number IS NOT NULL GROUP BY 1)
 SELECT a.ord, a.docket_number, coalesce(a.district_judge_id, k.i) AS district_judge_id, coalesce(a.district_judge, k.j) AS district_judge FROM a LEFT JOIN k ON trim(a.docket_number) = k.k
 UNION ALL SELECT ord, docket_number, district_judge_id, district_judge FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE trim(a.docket_number) = trim(b.docket_number))""")
 def source_backfill_merge(spark, sf_dir):

@@ -62,8 +62,9 @@ def test_answers(spark):
 def test_backfill(spark):
     cap = spark.createDataFrame([(0, "d1", None, None), (1, "d2", 5, "x")], "ord int, docket_number string, i int, n string")
     cl = spark.createDataFrame([(0, "d1", None, "n1"), (1, "d1", 7, "n2"), (2, "d3", 9, "z"), (3, None, 1, "q")], "ord int, docket_number string, i int, n string")
+    cl = cl.unionByName(spark.createDataFrame([(0, " d1 ", None, "n0"), (1, "d1", 3, None)], "ord int, docket_number string, i int, n string"))  # ties of ord
     got = relational.backfill_merge(cap, cl, "docket_number", ["i", "n"]).collect()
-    assert sorted((str(r.docket_number), r.i, r.n) for r in got) == [("None", 1, "q"), ("d1", 7, "n1"), ("d2", 5, "x"), ("d3", 9, "z")]
+    assert sorted((str(r.docket_number), r.i, r.n) for r in got) == [("None", 1, "q"), ("d1", 3, "n0"), ("d2", 5, "x"), ("d3", 9, "z")]
 
 
 PAGES = {
