@@ -1,88 +1,121 @@
-"""TF-IDF similarity join over an inverted index, gated by date, best match per probe.
+"""TF-IDF similarity join with threshold, gated by date, best match per probe.
 
-Statistics are kept per ``circuit``.  A term found in more than ``max_df`` of the indexed texts
-leaves the vocabulary, which also bounds the longest posting list by the rarer terms; the
-remaining skew is left to adaptive execution, since every join here is an equi-join on the term.
+Statistics are kept per ``circuit`` over all indexed texts.  A text's vector has unit length, its
+terms ordered from rare to common.  Its *prefix* ends where the terms left over are too light to
+reach the threshold alone, so two similar texts share a term of their prefixes: common terms make
+no candidates.  Captions with two sides must be similar on both, so their lists are keyed by a
+prefix term of each side.  Vectors travel with the list entries and every candidate is scored in
+full; nothing is approximate.
+
+Cases with equal captions and dates are compared once, and the one with the lowest order stands
+for the indexed ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import normalize_caption, split_caption
-from .relational import first_per
 
 TERM = r"(?U)\b\w\w+\b"
+#: Scores are rounded to 12 digits, so a prefix must not be cut short by less than that.
+_SLACK = 1e-9
+
+Function = Callable[[Column], Column]
 
 
-def terms(texts: DataFrame) -> DataFrame:
-    """``(circuit, doc, side, term, tf)`` of ``(circuit, doc, side, norm)``."""
-    found = F.regexp_extract_all(F.col("norm"), F.lit(TERM), F.lit(0))
-    return texts.select("circuit", "doc", "side", F.explode(found).alias("term")).groupBy("circuit", "doc", "side", "term").agg(F.count(F.lit(1)).alias("tf"))
+def word_terms(norm: Column) -> Column:
+    """Words of two characters and more."""
+    return F.regexp_extract_all(norm, F.lit(TERM), F.lit(0))
 
 
-def vocabulary(texts: DataFrame, tf: DataFrame, max_df: float = 0.8) -> DataFrame:
-    """``(circuit, term, df, idf)`` over indexed texts; smoothed logarithmic weights."""
-    total = texts.groupBy("circuit").agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("circuit", "term").agg(F.count(F.lit(1)).alias("df"))
-    # one row per circuit
-    return df.join(F.broadcast(total), "circuit").where(F.col("df") <= F.lit(max_df) * F.col("n")).select("circuit", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+def texts(cases: DataFrame, sided: bool, normalize: Function = normalize_caption) -> DataFrame:
+    """``cases`` with ``norms``: the normalised caption, or both of its sides where it has two."""
+    if sided:
+        return cases.where("parts.left is not null").withColumn("norms", F.array(normalize(F.col("parts.left")), normalize(F.col("parts.right"))))
+    return cases.withColumn("norms", F.array(normalize(F.col("name"))))
 
 
-def weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(circuit, doc, side, term, w)``, unit length per text."""
-    raw = tf.join(vocab.select("circuit", "term", "idf"), ["circuit", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("circuit", "doc", "side")))
-    return raw.select("circuit", "doc", "side", "term", (F.col("w") / norm).alias("w"))
+def vocabulary(norms: DataFrame, max_df: float = 0.8, min_df: int = 1, analyze: Function = word_terms) -> DataFrame:
+    """``(circuit, term, df, idf)`` over ``norms(circuit, norm, n)``, texts that occur ``n`` times; smoothed logarithmic weights.
+
+    Terms in more than the share ``max_df`` of the texts or in fewer than ``min_df`` texts are left out.
+    """
+    total = norms.groupBy("circuit").agg(F.sum("n").alias("total"))  # one row per circuit
+    each = norms.select("circuit", "n", F.explode(F.array_distinct(analyze(F.col("norm")))).alias("term"))
+    df = each.groupBy("circuit", "term").agg(F.sum("n").alias("df"))
+    kept = df.join(F.broadcast(total), "circuit").where(F.col("df") <= F.lit(max_df) * F.col("total")).where(F.col("df") >= min_df)
+    return kept.select("circuit", "term", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def similarities(probes: DataFrame, index: DataFrame, dates: DataFrame, years: int = 7) -> DataFrame:
-    """``(circuit, side, a, d, score)`` of probe and indexed texts that share a term and whose dates fit.
+def vectors(norms: DataFrame, vocab: DataFrame, threshold: float, analyze: Function = word_terms) -> DataFrame:
+    """``(circuit, norm, terms, prefix)``: the unit vector of each text from rare to common terms, and its prefix.
 
-    An indexed date lies in the ``years`` before the probe's; a null probe date accepts all.
+    Texts without a term of the vocabulary are similar to nothing and are left out.
     """
-    pd, dd = dates.select("circuit", F.col("doc").alias("a"), F.col("decision_date").alias("a_date")), dates.select("circuit", F.col("doc").alias("d"), F.col("decision_date").alias("d_date"))
-    p = probes.select("circuit", "side", "term", F.col("doc").alias("a"), F.col("w").alias("wa")).join(pd, ["circuit", "a"])
-    q = index.select("circuit", "side", "term", F.col("doc").alias("d"), F.col("w").alias("wd")).join(dd, ["circuit", "d"])
-    fits = F.expr(f"a_date is null or (d_date between a_date - interval {years} years and a_date)")
-    return p.join(q, ["circuit", "side", "term"]).where(fits).groupBy("circuit", "side", "a", "d").agg(F.round(F.sum(F.col("wa") * F.col("wd")), 12).alias("score"))
+    tf = norms.select("circuit", "norm").distinct().select("circuit", "norm", F.explode(analyze(F.col("norm"))).alias("term")).groupBy("circuit", "norm", "term").agg(F.count(F.lit(1)).alias("tf"))
+    raw = tf.join(vocab, ["circuit", "term"]).select("circuit", "norm", F.struct("df", "term", (F.col("tf") * F.col("idf")).alias("w")).alias("t"))
+    lists = raw.groupBy("circuit", "norm").agg(F.sort_array(F.collect_list("t")).alias("t"), F.sqrt(F.sum(F.col("t.w") * F.col("t.w"))).alias("length"))
+    unit = lists.select("circuit", "norm", F.transform("t", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("length")).alias("w"))).alias("terms"))
+    least = (threshold - _SLACK) ** 2
+    from_here = lambda i: F.aggregate(F.slice("terms", i + 1, F.size("terms")), F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])
+    return unit.withColumn("prefix", F.transform(F.filter("terms", lambda x, i: from_here(i) >= least), lambda x: x["term"]))
+
+
+def _with_vectors(rows: DataFrame, vecs: DataFrame, sides: int) -> DataFrame:
+    """``rows`` with the vector ``v0`` (and ``v1``) of each side and a row per list key."""
+    out = rows
+    for i in range(sides):
+        mine = vecs.select("circuit", F.col("norm").alias("_norm"), F.col("terms").alias(f"v{i}"), F.col("prefix").alias(f"p{i}"))
+        out = out.withColumn("_norm", F.get("norms", F.lit(i))).join(mine, ["circuit", "_norm"]).drop("_norm")
+    for i in range(sides):
+        out = out.withColumn(f"k{i}", F.explode(f"p{i}")).drop(f"p{i}")
+    return out
 
 
-def _texts(cases: DataFrame, sided: bool) -> DataFrame:
-    if not sided:
-        return cases.select("circuit", "doc", F.lit("W").alias("side"), normalize_caption(F.col("name")).alias("norm"))
-    both = cases.where("parts.left is not null").select("circuit", "doc", F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("parts.left").alias("t")), F.struct(F.lit("R").alias("side"), F.col("parts.right").alias("t")))).alias("x"))
-    return both.select("circuit", "doc", "x.side", normalize_caption(F.col("x.t")).alias("norm"))
+def _dot(a: str, b: str) -> Column:
+    weights = F.map_from_entries(b)
+    return F.round(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.element_at(weights, x["term"]), F.lit(0.0))), 12)
 
 
-def link_cases(cases: DataFrame, side_threshold: float = 0.7, cutoff: float = 0.65, bonus: float = 0.15, max_df: float = 0.8) -> DataFrame:
+def link_cases(
+    cases: DataFrame, side_threshold: float = 0.7, cutoff: float = 0.65, bonus: float = 0.15, max_df: float = 0.8, min_df: int = 1, years: int = 7,
+    normalize: Function = normalize_caption, analyze: Function = word_terms,
+) -> DataFrame:
     """Best originating case of each appellate case: ``(circuit, a, d, score)``.
 
     ``cases(circuit, doc, ord, name, decision_date, is_appellate)``.  Captions with a connector
     compare both sides, each of which must reach ``side_threshold``; the others compare whole
-    captions and get ``bonus``.  Ties go to the lowest ``ord``.
+    captions and get ``bonus``.  Scores must exceed ``cutoff``.  A trial case lies in the ``years``
+    before the appeal; a null date of the appeal accepts all.  Ties go to the lowest ``ord``, then
+    to the smallest ``doc``.  ``normalize`` makes the text of a caption and ``analyze`` its terms.
     """
     cases = cases.withColumn("parts", split_caption(F.col("name")))
     district, appellate = cases.where("is_appellate = 0"), cases.where("is_appellate = 1")
-    dates = cases.select("circuit", "doc", "decision_date")
-    place = district.select("circuit", F.col("doc").alias("d"), F.col("ord"))
     out = None
     for sided in (False, True):
-        probes = _texts(appellate.where("parts.left is not null" if sided else "parts.left is null"), sided)
-        indexed = _texts(district, sided)
-        tf = terms(indexed)
-        vocab = vocabulary(indexed, tf, max_df)
-        sim = similarities(weights(terms(probes), vocab), weights(tf, vocab), dates)
+        sides = 2 if sided else 1
+        probes = texts(appellate if sided else appellate.where("parts.left is null"), sided, normalize).select("circuit", "doc", "norms", "decision_date")
+        cited = probes.select("circuit", "norms", F.col("decision_date").alias("a_date"), F.col("doc").alias("a"))
+        probes = cited.select("circuit", "norms", "a_date").distinct()
+        indexed = texts(district, sided, normalize).groupBy("circuit", "norms", F.col("decision_date").alias("d_date")).agg(F.min(F.struct("ord", "doc")).alias("best"), F.count(F.lit(1)).alias("n"))
+        norms = indexed.select("circuit", "n", F.explode("norms").alias("norm")).groupBy("circuit", "norm").agg(F.sum("n").alias("n"))
+        every = norms.select("circuit", "norm").unionByName(probes.select("circuit", F.explode("norms").alias("norm")))
+        vecs = vectors(every, vocabulary(norms, max_df, min_df, analyze), side_threshold if sided else cutoff, analyze)
+        a, d = (_with_vectors(x, vecs, sides) for x in (probes, indexed))
+        keys = [f"k{i}" for i in range(sides)]
+        b = d.select("circuit", *keys, "d_date", "best", *(F.col(f"v{i}").alias(f"d{i}") for i in range(sides)))
+        fits = F.expr(f"a_date is null or (d_date between a_date - interval {years} years and a_date)")
+        pairs = a.join(b, ["circuit", *keys]).where(fits).select("circuit", "norms", "a_date", "best", *(_dot(f"v{i}", f"d{i}").alias(f"s{i}") for i in range(sides)))
         if sided:
-            good = sim.where(F.col("score") >= side_threshold)
-            pairs = good.groupBy("circuit", "a", "d").agg(F.count(F.lit(1)).alias("n"), (F.sum("score") / 2).alias("score")).where("n = 2").drop("n").where(F.col("score") > cutoff)
-            extra = 0.0
+            pairs = pairs.where((F.col("s0") >= side_threshold) & (F.col("s1") >= side_threshold)).withColumn("score", (F.col("s0") + F.col("s1")) / 2)
         else:
-            pairs = sim.where(F.col("score") > cutoff).select("circuit", "a", "d", "score")
-            extra = bonus
-        best = first_per(pairs.join(place, ["circuit", "d"]), ["circuit", "a"], [F.desc("score"), F.col("ord")])
-        best = best.select("circuit", "a", "d", (F.col("score") + extra).alias("score"))
+            pairs = pairs.withColumn("score", F.col("s0"))
+        found = pairs.where(F.col("score") > cutoff).groupBy("circuit", "norms", "a_date").agg(F.min(F.struct((-F.col("score")).alias("s"), "best")).alias("m"))
+        best = cited.alias("x").join(found.alias("y"), F.expr("x.circuit = y.circuit and x.norms = y.norms and x.a_date <=> y.a_date"))
+        best = best.select("x.circuit", "a", F.col("m.best.doc").alias("d"), (F.lit(0.0 if sided else bonus) - F.col("m.s")).alias("score"))
         out = best if out is None else out.unionByName(best)
     return out

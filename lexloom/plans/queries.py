@@ -441,8 +441,8 @@ _ACCEPTED = f"""{_LINKS}, ok AS (SELECT a, d, round(score, 6) AS score, CASE WHE
 @query(f"WITH {_VEC} SELECT mode, term, df, round(idf, 9) AS idf FROM vocab WHERE mode = 'W'")
 def tfidf_vocab(spark, sf_dir):
     d = cases(spark, sf_dir).where("is_appellate = 0").withColumn("parts", text.split_caption(F.col("name")))
-    texts = similarity._texts(d, False)
-    return similarity.vocabulary(texts, similarity.terms(texts)).select(F.lit("W").alias("mode"), "term", "df", F.round("idf", 9).alias("idf"))
+    norms = similarity.texts(d, False).groupBy("circuit", F.col("norms")[0].alias("norm")).agg(F.count(F.lit(1)).alias("n"))
+    return similarity.vocabulary(norms).select(F.lit("W").alias("mode"), "term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"WITH {_LINKS} SELECT a, d, round(score, 6) AS score FROM links")
