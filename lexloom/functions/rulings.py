@@ -10,7 +10,6 @@ from .text import strip
 # Tokens, contexts and disposition cues, in the order in which they are tried.
 # (cue, value where the United States is plaintiff or unknown, value where it is defendant)
 US_TOKEN = r"(?iU)\b(united states|u\.?\s*s\.?a?\.?|u\.?\s*s\.?)\b"
-CRIMINAL = r"(?iU)\b(indictment|information|prosecution|u\.?s\.? attorney|grand jury|government)\b"
 CUES = [
     (r"\b(grant|granted|grants|allow|allowed|allows)\b.*\bmotion to suppress\b", 0, 1),
     (r"\b(deny|denied|denies)\b.*\bmotion to suppress\b", 1, 0),
@@ -35,10 +34,9 @@ ADJUNCT = r"(?U)\b(adjunct|visiting|lecturer)\b"
 def us_support(name: Column, text: Column) -> Column:
     """1 if the ruling favours the United States, 0 if not, null if no cue decides."""
     caption, t = F.lower(F.coalesce(name, F.lit(""))), F.lower(text)
-    left, right = caption, F.lit("")
+    right = F.lit("")
     for sep in reversed(SEPARATORS):
         has = caption.contains(sep)
-        left = F.when(has, F.substring_index(caption, sep, 1)).otherwise(left)
         right = F.when(has, caption.substr(F.instr(caption, F.lit(sep)) + len(sep), F.length(caption))).otherwise(right)
     defends = right.rlike(US_TOKEN)
 

@@ -67,6 +67,20 @@ def citation_impact(cases: DataFrame, key: str = "opinion_author_id", cited: Col
     return base.join(counts, "cite", "left").groupBy(F.col(key).alias("judge_id")).agg(F.avg(F.log1p(F.coalesce("n", F.lit(0)))).alias("citation_impact"))
 
 
+def cited_judges(cases: DataFrame, judge: str = "opinion_author_id", order: str = "ord") -> DataFrame:
+    """``(cite, judge)``: the author of each citation; of cases with the same citation the last by ``order``."""
+    return cases.where(F.col("cite").isNotNull()).groupBy(norm_string(F.col("cite")).alias("cite")).agg(F.max(F.struct(order, judge))[judge].alias("judge"))
+
+
+def judges_named(judges: DataFrame, last_name: str) -> DataFrame:
+    """Judges with exactly this last name."""
+    return judges.where(F.col("last_name") == last_name)
+
+
+#: Columns of a judge's row of features, in order; those that no table has are left out.
+FEATURE_ROW = ["judge_id", "is_promoted", "overturn_rate", "prestige_index", "aba_rating", "gender", "ethnicity", "party", "us_support_rate", "politicality", "citation_impact"]
+
+
 def judge_features(judges: DataFrame, *features: DataFrame) -> DataFrame:
     """One row per judge with every feature; judges are few, features join by id."""
     out = first_per(judges, ["judge_id"], ["ord"]) if "ord" in judges.columns else judges.dropDuplicates(["judge_id"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,13 +13,29 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column | str]) -> Data
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def priority_dedupe(cases: DataFrame, order: str = "ord") -> DataFrame:
-    """One appellate case per docket, majority opinions first; other cases stay."""
+def priority_dedupe(cases: DataFrame, order: str = "ord", keys: tuple[str, ...] = ("docket_number",)) -> DataFrame:
+    """One appellate case per docket (``keys``), majority opinions first; other cases stay."""
     majority = F.when(F.lower("opinion_type") == "majority", 0).otherwise(1)
-    appellate = first_per(cases.where("is_appellate = 1"), ["docket_number"], [majority, F.col(order)])
+    appellate = first_per(cases.where("is_appellate = 1"), list(keys), [majority, F.col(order)])
     return appellate.unionByName(cases.where("is_appellate <> 1 or is_appellate is null"))
 
 
+def overwrite_union(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Rows of ``second``, and those of ``first`` whose key it does not have; null keys of ``first`` stay."""
+    return second.unionByName(first.join(second.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti").select(second.columns))
+
+
+def any_with_prefix(df: DataFrame, column: str, *prefixes: str) -> DataFrame:
+    """One row with a flag for each prefix: whether any id begins with it (false for an empty table)."""
+    return df.agg(*(F.coalesce(F.bool_or(F.startswith(F.col(column).cast("string"), F.lit(p))), F.lit(False)).alias(p) for p in prefixes))
+
+
+def counted(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
+    """``df``, and an observation that has its number of rows once it was computed, without a job of its own."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias(name)), seen
+
+
 def lookup(df: DataFrame, other: DataFrame, on: str, value: str, order: list[Column | str]) -> DataFrame:
     """``df`` with ``value`` of the first row of ``other`` that has the key and a value."""
     return df.join(first_per(other.where(F.col(value).isNotNull() & F.col(on).isNotNull()), [on], order).select(on, value), on, "left")

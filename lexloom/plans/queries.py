@@ -114,6 +114,28 @@ def judge_features(spark, sf_dir):
     return features.judge_features(info.select("judge_id", "is_promoted"), rate, citation_impact(spark, sf_dir))
 
 
+_BIOS = """SELECT s_suppkey AS judge_id, CASE s_suppkey % 3 WHEN 0 THEN 'Harvard Law School' WHEN 1 THEN 'Yale University' ELSE 'Ohio State' END AS school, CASE WHEN s_suppkey % 2 = 0 THEN 'J.D.' END AS degree,
+  CASE s_suppkey % 4 WHEN 0 THEN 'Law clerk, Court of Appeals' WHEN 1 THEN 'Professor' WHEN 2 THEN 'Visiting professor' END AS career, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'Well Qualified' END AS aba_rating,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, 'e' || CAST(s_suppkey % 6 AS VARCHAR(20)) AS ethnicity, CASE WHEN s_suppkey % 3 = 0 THEN 'A' ELSE 'B' END AS party FROM supplier"""
+_SCORED = "SELECT l_suppkey AS district_judge_id, l_linenumber AS politicality_score FROM lineitem"
+
+
+@query(f"""WITH {_OVERTURN}, {_CITES}, {_SUPPORT}, b AS ({_BIOS}), sup AS (SELECT judge_id, round(avg(r), 9) AS us_support_rate FROM v WHERE judge_id IS NOT NULL AND r IS NOT NULL GROUP BY 1),
+pol AS (SELECT district_judge_id AS judge_id, round(avg(politicality_score), 9) AS politicality FROM ({_SCORED}) GROUP BY 1)
+SELECT i.judge_id, is_promoted, round(CASE WHEN appealed > 0 THEN overturned / appealed END, 9) AS overturn_rate,
+ (regexp_matches(lower(school), '(harvard|yale).*law') OR (degree IS NOT NULL AND regexp_matches(lower(school), 'harvard|yale')))::INT + coalesce(regexp_matches(lower(career), 'law clerk.*court of appeals'), false)::INT + coalesce(lower(career) = 'professor', false)::INT AS prestige_index,
+ aba_rating, gender, ethnicity, party, us_support_rate, politicality, citation_impact
+FROM info i LEFT JOIN counted c ON i.judge_id = c.judge_id LEFT JOIN b ON i.judge_id = b.judge_id LEFT JOIN sup ON i.judge_id = sup.judge_id LEFT JOIN pol ON i.judge_id = pol.judge_id LEFT JOIN impact m ON i.judge_id = m.judge_id WHERE district = 1""")
+def judge_feature_row(spark, sf_dir):
+    info = features.promotion_info(judges(spark, sf_dir))
+    rate = features.overturn_rate(info, cases(spark, sf_dir)).select("judge_id", F.round("overturn_rate", 9).alias("overturn_rate"))
+    bios = frame(spark, sf_dir, _BIOS)
+    bios = bios.withColumn("prestige_index", rulings.prestige([bios.school], [bios.degree], bios.career)).drop("school", "degree", "career")
+    scored = features.politicality(frame(spark, sf_dir, _SCORED)).select("judge_id", F.round("politicality", 9).alias("politicality"))
+    out = features.judge_features(info, rate, bios, us_support(spark, sf_dir).select("judge_id", "us_support_rate"), scored, citation_impact(spark, sf_dir))
+    return relational.keep_columns(out, features.FEATURE_ROW)
+
+
 # ---------------------------------------------------------------- relational core
 
 
@@ -229,17 +251,13 @@ def judge_needles(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select("c_custkey", F.array_join(text.judge_needles(raw), "|").alias("needles"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(coalesce(text, '')), '(^|[^a-z0-9_])(the|with that)([^a-z0-9_]|$)') AS hit FROM documents WHERE lang = 'en'")
-def name_contains(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").where("lang = 'en'")
-    needles = F.array(F.lit("The"), F.lit("With"))
-    single = text.contains_any(F.col("text"), F.array(F.lit("The")))
-    return d.select("doc_id", (single | text.contains_any(F.col("text"), needles) & F.rlike(F.lower("text"), F.lit(r"\bwith that\b"))).alias("hit"))
+# Word characters and white space of any script, for classes of DuckDB's regular expressions.
+_WORD = "\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}"
+_BLANK = "\\s\\x{0B}\\x{85}\\p{Z}"
 
 
-@query()
-def name_contains_all(spark, sf_dir):
-    """``name_contains`` on all rows; DuckDB has no Unicode word boundary."""
+@query(f"SELECT doc_id, regexp_matches(lower(coalesce(text, '')), '(^|[^{_WORD}])the([^{_WORD}]|$)') OR contains(lower(coalesce(text, '')), 'with that') AS hit FROM documents")
+def name_contains(spark, sf_dir):
     needles = F.array(F.lit("The"), F.lit("With that"))
     return _read(spark, sf_dir, "documents").select("doc_id", text.contains_any(F.col("text"), needles).alias("hit"))
 
@@ -285,36 +303,26 @@ def split_name(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select("c_custkey", text.split_name(full).alias("n")).select("c_custkey", F.col("n.first").alias("first_name"), F.col("n.last").alias("last_name"))
 
 
-@query("SELECT doc_id, strip_accents(text) AS folded FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7F]*$')")
-def ascii_text(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").where("lang = 'en' and text rlike '^[\\\\x00-\\\\x7F]*$'").select("doc_id", ascii_fold("text").alias("folded"))
-
-
-@query("SELECT doc_id, length(trim(text, chr(32) || chr(10) || chr(9) || chr(13) || chr(11) || chr(12))) AS n FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
-def nfkd_length(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").where("text rlike '^[\\\\x00-\\\\x7F]*$'").select("doc_id", F.length(nfkd("text")).cast("long").alias("n"))
-
-
 @query()
-def ascii_text_all(spark, sf_dir):
-    """``ascii_text`` on all rows; DuckDB has no compatibility decomposition."""
+def ascii_text(spark, sf_dir):
+    """Every text in ASCII; DuckDB has no compatibility decomposition."""
     return _read(spark, sf_dir, "documents").select("doc_id", ascii_fold("text").alias("folded"))
 
 
 @query()
-def nfkd_length_all(spark, sf_dir):
-    """``nfkd_length`` on all rows."""
+def nfkd_length(spark, sf_dir):
+    """Length of every text after decomposition."""
     return _read(spark, sf_dir, "documents").select("doc_id", F.length(nfkd("text")).cast("long").alias("n"))
 
 
 # ---------------------------------------------------------------- scans
 
 
-@query("SELECT n_nationkey, n_name AS court_name, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS is_appellate FROM nation WHERE contains(lower(n_name), 'united') OR contains(lower(n_name), 'an')")
+@query("SELECT n_nationkey, n_name AS court_name, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS is_appellate FROM nation WHERE contains(lower(n_name), 'nation_1') OR contains(lower(n_name), 'ion_7')")
 def court_filter(spark, sf_dir):
     n = _read(spark, sf_dir, "nation").withColumnRenamed("n_name", "court_name")
     flag = files.appellate_flag(F.when(F.col("n_nationkey") % 2 == 0, F.lit("Court of APPEALS")).otherwise(F.lit("district")))
-    return files.court_filter(n, ["United", "AN"]).select("n_nationkey", "court_name", flag.alias("is_appellate"))
+    return files.court_filter(n, ["Nation_1", "ION_7"]).select("n_nationkey", "court_name", flag.alias("is_appellate"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{kind}', '{p}')" for c, pair in files.CIRCUITS.items() for kind, ps in zip(("appellate", "district"), pair, strict=True) for p in ps) + ") t(circuit, kind, court_pattern)")
@@ -334,10 +342,10 @@ def html_plain_text(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", html_text("html").alias("text"))
 
 
-@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 7 = 0 AND user_id IS NOT NULL) OR user_id IS NULL")
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150 AND user_id IS NOT NULL) OR user_id IS NULL")
 def resume_unseen(spark, sf_dir):
     e = _read(spark, sf_dir, "events")
-    return skip_seen(e, e.where("event_id % 7 = 0"), "user_id").select("event_id")
+    return skip_seen(e, e.where("event_type = 'error' and value > 150"), "user_id").select("event_id")
 
 
 # ---------------------------------------------------------------- requests and answers
@@ -348,24 +356,72 @@ def answers_decode(spark, sf_dir):
     return answers.decode_answers(responses(spark, sf_dir)).select("custom_id", "opinion", "politicality_score")
 
 
-@query("SELECT conv_id, turn, CASE WHEN len(t) > 6 THEN array_to_string(t[1:3] || t[-3:], '') WHEN len(t) > 3 THEN array_to_string(t[1:3] || t[-3:], '') ELSE text END AS text FROM (SELECT *, regexp_extract_all(text, '\\s*[A-Za-z0-9_]+|\\s*[^\\w\\s]|\\s+') AS t FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]*$'))")
-def truncate_tokens(spark, sf_dir):
-    c = _read(spark, sf_dir, "conversations").where("text rlike '^[\\\\x00-\\\\x7F]*$'")
-    return c.select("conv_id", "turn", answers.truncate_text(F.col("text"), 3).alias("text"))
+def _ends_sql(x: str, most: int) -> str:
+    """First and last tokens of a text."""
+    t = f"regexp_extract_all(coalesce({x}, ''), '[{_BLANK}]*[{_WORD}]+|[{_BLANK}]*[^{_WORD}{_BLANK}]|[{_BLANK}]+')"
+    return f"list_transform([{t}], lambda t: array_to_string(CASE WHEN len(t) > {most} THEN t[1:{most}] || t[-{most}:] ELSE t END, ''))[1]"
 
 
-@query()
-def truncate_tokens_all(spark, sf_dir):
-    """``truncate_tokens`` on all rows; DuckDB's word characters are ASCII."""
+@query(f"SELECT conv_id, turn, {_ends_sql('text', 3)} AS text FROM conversations")
+def truncate_tokens(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", answers.truncate_text(F.col("text"), 3).alias("text"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS custom_id, 'POST' AS method, 'gpt-4o' AS model, 3 AS n_messages FROM documents WHERE doc_id % 2 = 0")
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_DOCS = "SELECT doc_id AS ord, doc_id AS unique_id, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS is_appellate, text AS opinion_text FROM documents"
+
+
+@query(
+    f"SELECT CAST(unique_id AS VARCHAR) AS custom_id, 'POST' AS method, '{answers.URL}' AS url, 'gpt-4o' AS model, {_quoted(answers.SYSTEM)} AS system, {_quoted(answers.DEVELOPER)} AS developer, "
+    f"{_quoted(answers.USER)} || {_ends_sql('opinion_text', 40)} AS content FROM ({_DOCS}) WHERE is_appellate = 1"
+)
 def request_build(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("unique_id"), (F.col("doc_id") % 2 == 0).cast("int").alias("is_appellate"), F.col("text").alias("opinion_text"))
-    r = answers.build_requests(d)
+    r = answers.build_requests(frame(spark, sf_dir, _DOCS), most=40)
     at = lambda p: F.get_json_object("value", p)
-    return r.select("custom_id", at("$.method").alias("method"), at("$.body.model").alias("model"), F.size(F.from_json(at("$.body.messages"), "array<struct<role:string>>")).alias("n_messages"))
+    roles = {"system": 0, "developer": 1, "content": 2}
+    return r.select("custom_id", at("$.method").alias("method"), at("$.url").alias("url"), at("$.body.model").alias("model"), *(at(f"$.body.messages[{i}].content").alias(n) for n, i in roles.items()))
+
+
+@query(f"SELECT CAST(unique_id AS VARCHAR) AS custom_id, {_ends_sql('opinion_text', 5)} AS text FROM ({_DOCS}) WHERE is_appellate = 1 ORDER BY ord LIMIT 25")
+def first_texts(spark, sf_dir):
+    """The first texts only: the limit is the feature."""
+    return answers.build_texts(frame(spark, sf_dir, _DOCS), 5, limit=25)
+
+
+_PREFIXED = "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'CAP_' ELSE 'id_' END || CAST(o_orderkey AS VARCHAR(20)) AS custom_id FROM orders"
+
+
+@query(f"SELECT bool_or(starts_with(custom_id, 'CL_')) AS CL_, bool_or(starts_with(custom_id, 'CAP_')) AS CAP_ FROM ({_PREFIXED})")
+def id_prefixes(spark, sf_dir):
+    return relational.any_with_prefix(frame(spark, sf_dir, _PREFIXED), "custom_id", "CL_", "CAP_")
+
+
+_HIGH = "SELECT CAST(o_orderkey AS VARCHAR(20)) AS appellate_uid, CAST(o_custkey AS VARCHAR(20)) AS district_uid FROM orders WHERE o_orderstatus = 'F'"
+_CONFIRMED = "SELECT CAST(o_orderkey AS VARCHAR(20)) AS appellate_uid, 'c' || CAST(o_custkey AS VARCHAR(20)) AS district_uid FROM orders WHERE o_orderpriority = '1-URGENT'"
+
+
+@query(f"WITH h AS ({_HIGH}), c AS ({_CONFIRMED}) SELECT * FROM c UNION ALL SELECT * FROM h WHERE appellate_uid NOT IN (SELECT appellate_uid FROM c)")
+def overwrite_links(spark, sf_dir):
+    return relational.overwrite_union(frame(spark, sf_dir, _HIGH), frame(spark, sf_dir, _CONFIRMED), "appellate_uid")
+
+
+@query(f"WITH h AS ({_HIGH}), n AS (SELECT appellate_uid, district_uid, row_number() OVER (ORDER BY appellate_uid) AS i, count(*) OVER () AS m FROM h) SELECT '\"' || appellate_uid || '\": \"' || district_uid || '\"' || CASE WHEN i < m THEN ',' ELSE '' END AS value FROM n UNION ALL SELECT '{{' UNION ALL SELECT '}}'")
+def mapping_save(spark, sf_dir):
+    return files.mapping_lines(frame(spark, sf_dir, _HIGH))
+
+
+@query(f"WITH c AS ({CITES}) SELECT lower(cites_to) AS cite, (max({{'o': cite, 'v': opinion_author_id}})).v AS judge FROM c WHERE cites_to IS NOT NULL GROUP BY 1")
+def cited_judges(spark, sf_dir):
+    c = cites(spark, sf_dir).select(F.col("cites_to").alias("cite"), "opinion_author_id", F.col("cite").alias("ord"))
+    return features.cited_judges(c)
+
+
+@query(f"WITH j AS ({JUDGES}) SELECT judge_id, last_name FROM j WHERE last_name = 'Supplier#000000004'")
+def judge_lookup(spark, sf_dir):
+    return features.judges_named(judges(spark, sf_dir), "Supplier#000000004").select("judge_id", "last_name")
 
 
 @query("WITH RECURSIVE s AS (SELECT doc_id AS ord, strlen(text) AS n_bytes, row_number() OVER (ORDER BY doc_id) AS i FROM documents), f AS (SELECT ord, n_bytes, i, CAST(1 AS BIGINT) AS part, n_bytes AS held FROM s WHERE i = 1 UNION ALL SELECT s.ord, s.n_bytes, s.i, CASE WHEN f.held > 0 AND f.held + s.n_bytes > 100000 THEN f.part + 1 ELSE f.part END, CASE WHEN f.held > 0 AND f.held + s.n_bytes > 100000 THEN s.n_bytes ELSE f.held + s.n_bytes END FROM f JOIN s ON s.i = f.i + 1) SELECT ord, n_bytes, part FROM f")
@@ -402,6 +458,52 @@ def judge_extract(spark, sf_dir):
     return o.select("k", courts.extract_court(F.col("opinion_text")).alias("court"), courts.extract_judge(F.col("opinion_text"), "4th").alias("judge"))
 
 
+_STYLES = {
+    "1st": "'[Hon. ' || j || ', U.S. District Judge]'", "2nd": "'No. 12-345, ' || j || ', Judge.'", "3rd": "'District Judge: Hon. ' || j", "4th": "'at Asheville. ' || j || ', District Judge.'",
+    "6th": "'No. 12-345 - ' || j || ', District Judge.'", "7th": "'No. 9 - ' || j || ', Magistrate Judge.'", "9th": "'Appeal from the United States District Court for Guam' || chr(10) || j || ', District Judge, Presiding'",
+    "5th": "'before ' || chr(10) || j || ', J.' || chr(10) || 'the rest'", "8th": "'District Judge ' || j || '; we'", "10th": "'nobody is named'",
+}
+_STYLED = "SELECT o_orderkey AS k, circuit, CASE WHEN circuit = '10th' THEN '' ELSE j END AS judge, opinion_text FROM (" + " UNION ALL ".join(
+    f"SELECT o_orderkey, '{c}' AS circuit, j, {style} AS opinion_text FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Jane Rossi' WHEN 1 THEN 'Paul Alston' ELSE 'Ann Young' END AS j FROM orders)" for c, style in _STYLES.items()
+) + ")"
+
+
+@query(_STYLED.replace(", opinion_text FROM (", " FROM (", 1))
+def judge_extract_circuits(spark, sf_dir):
+    """Every circuit's way to name the judge, and the general ones."""
+    o = frame(spark, sf_dir, _STYLED)
+    return o.select("k", "circuit", courts.extract_judge(F.col("opinion_text"), F.col("circuit")).alias("judge"))
+
+
+_RAW = "SELECT o_orderkey AS _cid, 'x v. y' AS name, CAST(o_custkey AS VARCHAR(20)) AS docket_number, o_orderdate AS decision_date, CASE WHEN o_orderkey % 5 = 0 THEN 'no court below is named' WHEN o_orderkey % 5 = 1 THEN 'district judge unknown to us' ELSE 'at Asheville. Ann Lee' || chr(CAST(97 + o_orderkey % 4 AS INT)) || ', District Judge.' END AS opinion_text FROM orders"
+_FEW = "SELECT s_suppkey AS judge_id, s_suppkey AS ord, 'Ann' AS first_name, 'Lee' || chr(CAST(97 + s_suppkey AS INT)) AS last_name, 'Court' AS court_name FROM supplier WHERE s_suppkey < 3"
+
+
+@query(f"SELECT 'CL_' || CAST(_cid AS VARCHAR) AS unique_id, docket_number, 1 AS is_appellate, judge_id AS district_judge_id FROM ({_RAW}) JOIN ({_FEW}) ON _cid % 5 > 1 AND _cid % 4 = judge_id")
+def opinions_clean(spark, sf_dir):
+    return resolve.clean_opinions(frame(spark, sf_dir, _RAW), frame(spark, sf_dir, _FEW), "4th").select("unique_id", "docket_number", "is_appellate", "district_judge_id")
+
+
+_GIVEN = "SELECT 'CL_' || CAST(o_orderkey AS VARCHAR(20)) AS custom_id, 'affirmed' AS opinion, ' ann' AS lower_judge_first, 'LEE' || chr(CAST(65 + o_orderkey % 4 AS INT)) AS lower_judge_last FROM orders WHERE o_orderkey % 3 <> 0"
+_OPEN = "SELECT 'CL_' || CAST(o_orderkey AS VARCHAR(20)) AS unique_id, 'x v. y' AS name, 'text' AS opinion_text, CAST(o_custkey AS VARCHAR(20)) AS docket_number, o_orderdate AS decision_date FROM orders"
+
+
+@query(f"SELECT unique_id, docket_number, coalesce(lower(lower_judge_last), '') AS district_judge, judge_id AS district_judge_id, opinion FROM ({_OPEN}) LEFT JOIN ({_GIVEN}) ON unique_id = custom_id LEFT JOIN ({_FEW}) ON lower(lower_judge_last) = lower(last_name)")
+def answers_attach_opinions(spark, sf_dir):
+    out = answers.attach_to_opinions(frame(spark, sf_dir, _OPEN), frame(spark, sf_dir, _GIVEN), frame(spark, sf_dir, _FEW))
+    return out.select("unique_id", "docket_number", "district_judge", "district_judge_id", "opinion")
+
+
+_LINKED = "SELECT CAST(o_orderkey AS VARCHAR(20)) AS appellate_uid, CAST(o_orderkey + 1 AS VARCHAR(20)) AS district_uid FROM orders WHERE o_orderkey % 50 = 0"
+_CAPPED = "SELECT 'CAP_' || CAST(o_orderkey AS VARCHAR(20)) AS custom_id, 'reversed' AS opinion FROM orders WHERE o_orderkey % 100 = 0"
+
+
+@query(f"WITH v_case AS ({CASES}) SELECT 'CAP_' || CAST(c.unique_id AS VARCHAR) AS unique_id, t.opinion_author_raw AS district_judge, t.opinion_author_id AS district_judge_id, a.opinion FROM v_case c JOIN ({_LINKED}) l ON CAST(c.unique_id AS VARCHAR) = l.appellate_uid LEFT JOIN v_case t ON CAST(t.unique_id AS VARCHAR) = l.district_uid LEFT JOIN ({_CAPPED}) a ON a.custom_id = 'CAP_' || CAST(c.unique_id AS VARCHAR)")
+def answers_attach_linked(spark, sf_dir):
+    c = cases(spark, sf_dir).withColumn("opinion_author_clean", F.col("opinion_author_raw")).drop("opinion")
+    return answers.attach_to_linked(c, frame(spark, sf_dir, _LINKED), frame(spark, sf_dir, _CAPPED)).select("unique_id", "district_judge", "district_judge_id", "opinion")
+
+
 _BENCH = "SELECT s_suppkey AS judge_id, s_suppkey AS ord, CASE s_suppkey % 3 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Bob M.' ELSE 'Cy' END AS first_name, 'Lee' || chr(CAST(97 + s_suppkey % 13 AS INT)) AS last_name, n_name AS court_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 _NAMED = "SELECT c_custkey AS case_id, CASE c_custkey % 4 WHEN 0 THEN 'Hon. Ann' WHEN 1 THEN 'Bob' ELSE 'Zed' END || ' Lee' || chr(CAST(97 + c_custkey % 17 AS INT)) AS judge, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE n_name END AS court FROM customer JOIN nation ON c_nationkey = n_nationkey"
 

@@ -18,6 +18,8 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .html import text_of, text_of_pdf
@@ -135,6 +137,32 @@ def docket_number(client: Client, base: str, cid: str, item: dict) -> str:
         return ""
 
 
+def ingest(spark, path: str, circuits: list[str], options: dict[str, str], every: int = 200, limit: int | None = None) -> int:
+    """Append all opinions that ``path`` (parquet) does not have yet, at most ``every`` of a circuit at a time; returns their number.
+
+    Stored ids are read first, and their texts are not asked for again, so a run that was stopped
+    goes on where it was.  ``limit`` counts the stored opinions of a circuit too.
+    """
+    from .files import exists
+
+    added = 0
+    while True:
+        have: dict[str, list[str]] = {c: [] for c in circuits}
+        if exists(spark, path):
+            for r in spark.read.schema(SCHEMA).parquet(path).select("circuit", "_cid").where("_cid is not null").distinct().toLocalIterator():
+                have.setdefault(r.circuit, []).append(r["_cid"])
+        fresh = None
+        for c in circuits:
+            most = min(len(have[c]) + every, limit if limit is not None else 1 << 60)
+            one = spark.read.format("opinion_rest").options(**options, circuits=c, limit=str(most), seen=json.dumps({c: have[c]})).load()
+            fresh = one if fresh is None else fresh.unionByName(one)
+        got = Observation()
+        fresh.observe(got, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+        added += got.get["n"]
+        if not got.get["n"]:
+            return added
+
+
 class _Court(InputPartition):
     def __init__(self, circuit: str):
         self.circuit = circuit
@@ -156,7 +184,7 @@ class _Reader(DataSourceReader):
         if not digits:
             raise ValueError(f"not a numbered circuit: {part.circuit}")
         url, params = f"{base}/search/", {"court": f"ca{digits}", "type": "o", "page_size": PAGE_SIZE}
-        seen: set[str] = set()
+        seen = {str(c) for c in json.loads(o.get("seen", "{}")).get(part.circuit, [])}
         while url and (limit is None or len(seen) < limit):
             page = client.get(url, params)
             for item in page.get("results", []):

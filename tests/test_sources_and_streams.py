@@ -133,3 +133,67 @@ def test_batches(spark, tmp_path):
     assert batches.enqueue(client, ["p"]) == ["b-up"]
     assert batches.download_new(spark, client, ["b1"], str(tmp_path), poll=True, sleep=lambda s: None) == [f"{tmp_path}/results/b1.jsonl"]
     assert batches.download_new(spark, client, ["b1"], str(tmp_path)) == []
+
+
+def test_ingest_goes_on_where_it_was(spark, tmp_path):
+    spark.dataSource.register(rest.OpinionRestSource)
+    options = {"base": "http://x", "transport": "tests.test_sources_and_streams:replay"}
+    at = f"{tmp_path}/opinions"
+    assert rest.ingest(spark, at, ["3rd"], options, limit=1) == 1
+    assert rest.ingest(spark, at, ["3rd"], options, every=1) == 1
+    assert rest.ingest(spark, at, ["3rd"], options) == 0
+    assert sorted(r["_cid"] for r in spark.read.parquet(at).collect()) == ["1", "2"]
+
+
+def test_part_files_and_mapping(spark, tmp_path):
+    lines = ["a" * 59, "b" * 49, "ü" * 19, "c" * 300, "d"]
+    files.write_parts(spark.createDataFrame(list(enumerate(lines)), "ord long, value string"), f"{tmp_path}/parts", 100)
+    got = {p.name: [f.read_text() for f in p.glob("part-*")] for p in (tmp_path / "parts").glob("part=*")}
+    assert got == {"part=1": ["a" * 59 + "\n"], "part=2": ["b" * 49 + "\n" + "ü" * 19 + "\n"], "part=3": ["c" * 300 + "\n"], "part=4": ["d\n"]}
+    links = spark.createDataFrame([("7", "1"), ('q"ü', "2"), ("7", "1"), ("8", None)], "appellate_uid string, district_uid string")
+    files.write_mapping(links, f"{tmp_path}/map")
+    assert json.loads("".join(f.read_text() for f in (tmp_path / "map").glob("part-*"))) == {"7": "1", 'q"ü': "2"}
+    assert sorted(map(tuple, files.read_mapping(spark, f"{tmp_path}/map").collect())) == [("7", "1"), ('q"ü', "2")]
+    files.write_mapping(links.limit(0), f"{tmp_path}/none")
+    assert files.read_mapping(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_saved_ids(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('_cid,text\n5,"two\nlines"\n5,x\n,y\n')
+    (tmp_path / "a.jsonl").write_text('{"unique_id": 3}\n\n{"unique_id": "x"}\n{}\n')
+    assert [r["_cid"] for r in files.saved_ids(spark, f"{tmp_path}/a.csv", "_cid").collect()] == ["5"]
+    assert sorted(r.unique_id for r in files.saved_ids(spark, f"{tmp_path}/a.jsonl", "unique_id").collect()) == ["3", "x"]
+    assert files.saved_ids(spark, f"{tmp_path}/none.csv", "k").collect() == []
+
+
+def test_several_circuits_from_one_scan(spark, tmp_path):
+    rows = [("D. Delaware", "a", "d1", "x"), ("D. Maine", "b", "d2", "x"), ("W.D. Arkansas", "c", "d3", "x"), ("Eighth Circuit Court of Appeals", "d", "d1", "x"), ("Third Circuit Court of Appeals", "e", "d1", "x"), (None, "f", "d9", "x")]
+    spark.createDataFrame(rows, "court_name string, name string, docket_number string, opinion_type string").write.parquet(f"{tmp_path}/lake")
+    got = files.read_cases(spark, f"{tmp_path}/lake", ["3rd", "8th", "10th"]).collect()
+    assert sorted((r.circuit, r.name) for r in got) == [("10th", "c"), ("3rd", "a"), ("3rd", "e"), ("8th", "c"), ("8th", "d")]  # "Kansas" is in "Arkansas"
+    alone = sorted((c, r.name) for c in ("3rd", "8th", "10th") for r in files.read_cases(spark, f"{tmp_path}/lake", c).collect())
+    assert alone == sorted((r.circuit, r.name) for r in got)
+    assert len(files.read_cases(spark, f"{tmp_path}/lake").collect()) == 5  # the two appeals share a docket
+
+
+class Letters:
+    def encode(self, text):
+        return list(text)
+
+    def decode(self, ids):
+        return "".join(ids)
+
+
+def test_texts_by_a_tokenizer(spark):
+    cases = spark.createDataFrame([(3, 3, 1, "abcdefg"), (1, 1, 1, None), (2, 2, 0, "no"), (9, 0, 1, "héé"), (5, 5, 1, "abcd")], "unique_id long, ord long, is_appellate int, opinion_text string")
+    assert sorted(map(tuple, answers.build_texts(cases, 3, make=Letters).collect())) == [("1", ""), ("3", "abcefg"), ("5", "abcbcd"), ("9", "héé")]
+    assert sorted(r.custom_id for r in answers.build_texts(cases, 3, limit=2).collect()) == ["1", "9"]
+
+
+def test_counted(spark):
+    rows, seen = relational.counted(spark.range(7), "n")
+    assert rows.where("id > 3").count() == 3 and seen.get == {"n": 7}
+
+
+def test_prefixes_of_an_empty_table(spark):
+    assert tuple(relational.any_with_prefix(spark.range(0), "id", "CL_", "CAP_").first()) == (False, False)
