@@ -42,13 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .wordtools import chunks, text_bytes
+from .workers import lean
 
 #: Text gathered in one block; bounds the memory of a task that builds or reassembles it.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Least number of word buckets; twice the shuffle partitions if that is more.
 LEAST_BUCKETS = 128
 #: Encoded words that a task remembers; one that was forgotten is encoded again.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
@@ -190,6 +191,7 @@ def _block_rows(ids: list[pa.Array], places: list[pa.Array], tokens: list[pa.Arr
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], _NAMES)
 
 
+@lean
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int, buckets: int) -> Iterator[pa.RecordBatch]:
     ids, places, tokens, counts, held = [], [], [], [], 0
     for batch in batches:
@@ -207,6 +209,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int, buckets: int) -
         yield _block_rows(ids, places, tokens, counts, buckets)
 
 
+@lean
 def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """The ids of each packed list of words: how many each word has, then all of them."""
     coder, ranks = _coder(path), load_ranks(path)
@@ -338,6 +341,7 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, place: st
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``(doc_id, decoded binary)`` for every row of ``encoded(doc_id, ids)``; null ids give null."""
 
+    @lean
     def run(batches):
         for batch in batches:
             out = [bytes(_joined(decode_ids(x.values, path))) if x.is_valid else None for x in batch.column("ids")]

@@ -51,6 +51,7 @@ from .graph import components
 from .packing import bucket_of, fresh_name, pieces
 from .storage import discard, materialize
 from .wordtools import Words, chunks, mix64, sequence_hash, window_hashes
+from .workers import lean
 
 WIDTH = 4
 PERCENT = 85
@@ -125,6 +126,7 @@ def subset_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 _MEMBERS = "doc_id long, n_shingles long, k1 long, k2 long, subsets array<struct<key:long,kept:int>>"
 
 
+@lean
 def _members(batches, width, percent, largest):
     kind = pa.list_(pa.struct([("key", pa.int64()), ("kept", pa.int32())]))
     for batch in batches:
@@ -141,6 +143,7 @@ def _members(batches, width, percent, largest):
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "k1", "k2", "subsets"])
 
 
+@lean
 def _keyed_rows(batches, width, columns, names):
     """The columns of every row and the two keys of its set."""
     for batch in batches:
@@ -166,6 +169,7 @@ def _packed(bucket: np.ndarray, node: np.ndarray, size: np.ndarray, tokens: np.n
     return pa.RecordBatch.from_arrays(cols, ["bucket", "nodes", "sizes", "counts", "tokens", *(["ranks"] if more else [])])
 
 
+@lean
 def _token_rows(batches, width, buckets, least):
     """The n-grams of the distinct sets of each chunk, by bucket of the n-gram."""
     for batch in batches:
@@ -203,6 +207,7 @@ def _by_bucket(batches) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield whole()
 
 
+@lean
 def _recurring_rows(batches, buckets):
     """N-grams that at least two sets have, with their rank (frequency), by bucket of the node."""
     for bucket, (node, size, raw) in _by_bucket(batches):
@@ -235,6 +240,7 @@ def _recurring_rows(batches, buckets):
 _SETS = "node long, size int, own int, b0 long, b1 long, b2 long, b3 long, grams array<long>"
 
 
+@lean
 def _set_rows(batches, percent):
     """Sets that can have a partner: their shared n-grams from rare to common, the number of unshared ones, parities of hash classes."""
     for _, (node, size, raw, rank) in _by_bucket(batches):

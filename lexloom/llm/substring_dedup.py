@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from .packing import bucket_of, fresh_name, pieces
 from .storage import materialize
 from .wordtools import Words, chunks, mix64, text_bytes, window_hashes
+from .workers import lean
 
 WIDTH = 35
 #: Words in an anchor.
@@ -131,6 +132,7 @@ def _regrouped(batches, kinds) -> Iterator[list[np.ndarray]]:
         yield whole()
 
 
+@lean
 def _anchor_rows(batches, width, anchor, buckets):
     """Every anchor and the row that has it, by bucket of the anchor."""
     for part, words in _parts(batches):
@@ -142,6 +144,7 @@ def _anchor_rows(batches, width, anchor, buckets):
         yield _grouped(bucket_of(grams[where], buckets), grams[where], rows)
 
 
+@lean
 def _recurring_rows(batches, buckets, crowd):
     """Anchors that occur at least twice and whether they are crowded, by bucket of the row."""
     for anchor, row in _regrouped(batches, (np.uint64, np.uint64)):
@@ -155,6 +158,7 @@ def _recurring_rows(batches, buckets, crowd):
             yield _grouped(bucket_of(row[keep], buckets), row[keep], anchor[keep], (count[keep] > crowd).astype(np.uint8))
 
 
+@lean
 def _known_rows(batches):
     """(row, recurring anchors, crowded ones among them)."""
     for row, anchor, crowded in _regrouped(batches, (np.uint64, np.uint64, np.uint8)):
@@ -165,6 +169,7 @@ def _known_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(row[start].view(np.int64)), pieces(anchor, bounds), pieces(crowded, bounds)], ["row", "anchors", "crowded"])
 
 
+@lean
 def _segment_rows(batches, width, anchor):
     """(key, segment, occurrences, rows, first words) of every stretch whose anchor recurs, equal ones of a chunk together."""
     for part, words in _parts(batches):
@@ -282,6 +287,7 @@ class _Shard:
                 yield from ((row, first + begin, first + end) for row, first in places)
 
 
+@lean
 def _located_rows(batches, width, limit):
     """Located stretches of segments sorted by key and segment."""
     out: list[tuple[int, int, int]] = []
@@ -336,6 +342,7 @@ def _kept(part: pa.RecordBatch, firsts: str, ends: str) -> tuple[Words, np.ndarr
     return words, np.diff(words.bounds) - np.diff(bounds), left
 
 
+@lean
 def _result_rows(batches, firsts, ends):
     """Word counts and the digest of what is left of every document."""
     for batch in batches:
@@ -346,6 +353,7 @@ def _result_rows(batches, firsts, ends):
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+@lean
 def _cleaned_texts(batches, columns, firsts, ends):
     """The batch with covered words cut out of its texts; untouched texts stay byte for byte."""
     for batch in batches:
@@ -355,6 +363,7 @@ def _cleaned_texts(batches, columns, firsts, ends):
             yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in columns], columns)
 
 
+@lean
 def _with_row_columns(batches, columns, name):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array(_row_keys(batch.column("text")).view(np.int64)), *(batch.column(c) for c in columns)], [name, *columns])

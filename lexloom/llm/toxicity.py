@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .wordtools import Words, chunks, mix64
+from .workers import lean
 
 #: Most labelled documents of each class that a model is fitted on.
 SAMPLE_PER_CLASS = 1200
@@ -236,6 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     return Model(np.frombuffer(found[0].weights, np.float32).astype(np.float64), found[0].bias) if found else train([], [])
 
 
+@lean
 def _train_rows(batches):
     """The model of all rows of the bounded sample, trained in one task."""
     texts, labels = [], []
@@ -253,6 +255,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     columns = base.columns
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
 
+    @lean
     def run(batches):
         own = Model(*shared.value)
         for batch in batches:
