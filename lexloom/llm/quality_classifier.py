@@ -5,7 +5,7 @@ source and the layout figures of a document (size, lines, share of symbols and c
 repeated lines, ...).  Each view has a logistic regression.  In every round either classifier
 labels the unlabelled documents it is surest of and passes them on to the other one as
 training data.  At last both are calibrated (Platt scaling on labelled rows kept out of
-fitting) and their log-odds are added.
+fitting) and their log-odds are added, less the log-odds of the calibration rows, which both hold.
 
 The hashed features of all texts are written once, packed.  In every round both views score
 *all* unlabelled documents on the executors and each passes on its surest share ``PASSED_SHARE``
@@ -16,10 +16,13 @@ fitted in executor tasks: pseudo-labelled documents are dealt to shards of ``SHA
 hash, each shard is fitted together with the labelled sample, and the weights are averaged.
 
 Only the labelled side is a bounded sample (``LABELLED_PER_CLASS`` documents of each class, by
-id hash); rows with crc32(doc_id) mod 5 = 0 are never learnt from.
+id hash), whose ids are broadcast; all other documents count as unlabelled.  Rows with
+crc32(doc_id) mod 5 = 0 and rows without an id are never learnt from.
 
 Null and empty texts are scored by their metadata and the bias.  Null language or source is a
-value of its own.  Repeated rows are scored alike; columns other than id, text, language and
+value of its own.  Very long texts are read whole.  Repeated rows are scored alike and each is
+learnt from, but a labelled id counts once; ties of confidence are broken by a hash of the id.
+Columns other than id, text, language and
 source are ignored; an empty table gives an empty result.  Without labels of both classes
 every score is 0.5.
 """
@@ -27,7 +30,7 @@ every score is 0.5.
 from __future__ import annotations
 
 import functools
-import uuid
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -44,6 +47,7 @@ from pyspark.sql import functions as F
 from .storage import materialize
 from .toxicity import held_out
 from .wordtools import Words, chunks, mix64, text_bytes
+from .workers import lean
 
 LABELLED_PER_CLASS = 700
 ROUNDS = 4
@@ -113,8 +117,12 @@ def meta_view(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.append(0.0, np.cumsum(values))
-    return total[first[1:]] - total[first[:-1]]
+    """Sum of each row's values; it does not depend on the rows before."""
+    out = np.zeros(len(first) - 1)
+    full = np.flatnonzero(first[1:] > first[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, first[:-1][full])
+    return out
 
 
 @dataclass
@@ -125,6 +133,8 @@ class View:
     bias: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
+    #: Log-odds of the classes among the calibration rows.
+    prior: float = 0.0
 
     def margin(self, features) -> np.ndarray:
         first, bucket, value = features
@@ -173,7 +183,16 @@ def _calibrate(view: View, m: np.ndarray, y: np.ndarray) -> None:
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-7:
             break
-    view.slope, view.shift = float(max(a, 0.0)), float(b)
+    view.slope, view.shift, view.prior = float(max(a, 0.0)), float(b), float(np.log((pos + 1) / (neg + 1)))
+
+
+def _chance(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+
+
+def combined(content: np.ndarray, meta: np.ndarray, prior: float) -> np.ndarray:
+    """Log-odds of both views together: each holds the prior, which counts once."""
+    return content + meta - prior
 
 
 # ---------------------------------------------------------------- packed features
@@ -214,16 +233,23 @@ def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, run - np.repeat(before, np.diff(first)), np.frombuffer(raw, np.uint32, first[-1], 4 + 4 * rows + 2 * first[-1]).astype(np.int64)
 
 
-_FEATURES = "chunk long, ids array<long>, content binary, meta binary"
+_FEATURES = "ids array<long>, role binary, content binary, meta binary"
+
 
+def _roles(ids: list[int | None], sample: dict[int, int]) -> np.ndarray:
+    """What each document is learnt from as: its label in the sample, ``FREE`` or ``UNUSED``."""
+    return np.array([UNUSED if i is None or zlib.crc32(str(i).encode()) % 5 == 0 else sample.get(i, FREE) for i in ids], np.int8)
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+@lean
+def _feature_rows(batches: Iterator[pa.RecordBatch], sample) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, limit=FEATURE_BYTES):
             first, bucket, counts = content_counts(part.column("text"))
             meta_first, meta_bucket, _ = meta_view(part)
-            row = [uuid.uuid4().int >> 65], [part.column("doc_id").to_pylist()], [_pack(first, bucket, counts)], [_pack(meta_first, meta_bucket, np.ones(len(meta_bucket)))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], ["chunk", "ids", "content", "meta"])
+            ids = part.column("doc_id").to_pylist()
+            row = [ids], [_roles(ids, sample.value).tobytes()], [_pack(first, bucket, counts)], [_pack(meta_first, meta_bucket, np.ones(len(meta_bucket)))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["ids", "role", "content", "meta"])
 
 
 def _chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, pa.Array]]:
@@ -233,7 +259,7 @@ def _chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, pa.Ar
             ids = batch.column("ids")[i].values
             first, bucket, count = _unpack(batch.column("content")[i].as_py())
             meta_first, meta_bucket, ones = _unpack(batch.column("meta")[i].as_py())
-            role = batch.column("role")[i].values.to_numpy()
+            role = np.frombuffer(batch.column("role")[i].as_py(), np.int8)
             yield Chunk(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), role, ((first, bucket, _values(first, count)), (meta_first, meta_bucket, ones.astype(float))), ((first, bucket, count), (meta_first, meta_bucket, ones))), ids
 
 
@@ -386,23 +412,18 @@ def _training(chunk: Chunk, given: np.ndarray, view: int):
 
 
 def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Packed features of all rows of ``docs`` (see ``_FEATURES``) with the role of each.
+    """Packed features of all rows of ``docs`` (see ``_FEATURES``), written once, with the role of each document.
 
-    Features are written once.  Ids alone meet the labels; the roles come back to the packed rows in
-    a broadcast table of one byte a document, so neither texts nor features are shuffled.
+    The ids of the bounded labelled sample are broadcast, so neither texts nor features are shuffled.
     """
-    packed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").mapInArrow(_feature_rows, _FEATURES), "features")
     usable = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out())
-    picked = [usable.where(f"quality = {q}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_PER_CLASS).select("doc_id", F.lit(q).alias("quality")) for q in (0, 1)]
-    sample = picked[0].unionByName(picked[1])
-    rest = labels.where("doc_id is not null").select("doc_id", F.lit(None).cast("int").alias("quality"))
-    known = sample.unionByName(rest).groupBy("doc_id").agg(F.coalesce(F.max("quality"), F.lit(UNUSED)).alias("known"))
-    role = F.when(F.col("doc_id").isNull() | held_out(), UNUSED).otherwise(F.coalesce("known", F.lit(FREE)))
-    each = packed.select("chunk", F.posexplode("ids").alias("at", "doc_id")).join(known, "doc_id", "left").select("chunk", F.struct("at", role.cast("tinyint").alias("role")).alias("r"))
-    roles = materialize(each.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r.role).alias("role")), "roles")
-    return packed.join(F.broadcast(roles), "chunk").drop("chunk")
+    picked = [usable.where(f"quality = {q}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_PER_CLASS).select("doc_id", "quality") for q in (1, 0)]
+    sample = {int(r.doc_id): int(r.quality) for r in picked[1].unionByName(picked[0]).orderBy("quality").collect()}  # 1 where an id has both
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
+    return materialize(rows.mapInArrow(functools.partial(_feature_rows, sample=docs.sparkSession.sparkContext.broadcast(sample)), _FEATURES), "features")
 
 
+@lean
 def _training_rows(batches, shared, shards):
     """Packed training rows of both views by shard; labelled rows go to every shard."""
     rules = shared.value
@@ -432,6 +453,7 @@ def _fit_shard(table: pa.Table) -> pa.Table:
     return pa.table({"view": [view], "shard": [table.column("shard")[0].as_py()], "weights": pa.array([got.weights.tobytes()], pa.binary()), "bias": [got.bias]})
 
 
+@lean
 def _mean_rows(batches):
     """The mean of each view's shards, read in the order of the shards."""
     sums: dict[int, list] = {}
@@ -443,6 +465,7 @@ def _mean_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array([view]), pa.array([(weights / n).tobytes()], pa.binary()), pa.array([bias / n])], ["view", "weights", "bias"])
 
 
+@lean
 def _count_rows(batches, shared):
     rules, views = shared.value
     total: Counter = Counter()
@@ -452,12 +475,14 @@ def _count_rows(batches, shared):
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["view", "label", "step", "n"])
 
 
+@lean
 def _role_rows(batches):
     for batch in batches:
-        roles, n = np.unique(batch.column("role").flatten().to_numpy(), return_counts=True)
+        roles, n = np.unique(np.frombuffer(b"".join(batch.column("role").to_pylist()), np.int8), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(roles.astype(np.int64)), pa.array(n)], ["role", "n"])
 
 
+@lean
 def _margin_rows(batches, shared):
     """Id, label and margins of the labelled sample."""
     views = shared.value
@@ -496,11 +521,12 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     packed = features(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(fit(packed))
 
+    @lean
     def run(batches):
         content, meta = shared.value
         for chunk, ids in _chunks_of(batches):
             a, b = content.log_odds(chunk.views[0]), meta.log_odds(chunk.views[1])
-            scores = [1 / (1 + np.exp(-np.clip(x, -60, 60))) for x in (a, b, a + b)]
+            scores = [_chance(x) for x in (a, b, combined(a, b, content.prior))]
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, scores)], ["doc_id", "content_score", "meta_score", "score"])
 
     scored = packed.mapInArrow(run, "doc_id long, content_score double, meta_score double, score double")
@@ -508,6 +534,16 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents predicted to be of low quality; same columns."""
-    bad = predictions(docs, labels).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the documents predicted to be of low quality; same columns.  Every row is judged on its own."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(features(docs, labels)))
+    columns = docs.columns
+
+    @lean
+    def run(batches):
+        content, meta = shared.value
+        for batch in batches:
+            for part in chunks(batch):
+                odds = combined(content.log_odds(content_view(part.column("text"))), meta.log_odds(meta_view(part)), content.prior)
+                yield part.filter(pa.array(_chance(odds) >= 0.5)).select(columns)
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

@@ -53,3 +53,31 @@ def test_packed_features_are_the_same():
     b = Q._batch([{"doc_id": i, "text": t, "lang": None, "source": "s"} for i, t in enumerate(["a b a b a", None, "x", "", "é ü é"])])
     first, bucket, count = Q.content_counts(b.column("text"))
     assert all((x == y).all() for x, y in zip((first, bucket, count), Q._unpack(Q._pack(first, bucket, count))))
+
+
+def test_each_row_of_a_repeated_id_is_judged(spark):
+    rng = np.random.default_rng(3)
+    word = lambda good: " ".join(rng.choice(["alpha", "beta"] if good else ["gamma", "delta"], 6))
+    rows = [(i, word(i % 2), "en", "s1" if i % 2 else "s0", "x") for i in range(200)]
+    rows += [(500, word(1), "en", "s1", "good"), (500, word(0), "en", "s0", "bad"), (None, word(1), "en", "s1", "good"), (None, word(0), "en", "s0", "bad")] + [(502, word(1), "en", "s1", "good")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, predicted string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    kept = Q.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(str(r.doc_id) for r in got if r.predicted != "x") == ["500", "502", "502", "None"] and {r.predicted for r in got} == {"x", "good"}
+    assert all(r.doc_id % 2 for r in got if r.predicted == "x")
+
+
+def test_the_prior_counts_once():
+    assert Q.combined(np.array([1.0]), np.array([0.5]), 0.5).tolist() == [1.0]
+    view = Q.View(np.zeros(4))
+    Q._calibrate(view, np.zeros(40), np.array([1] * 30 + [0] * 10))
+    odds = view.log_odds((np.array([0, 0]), np.zeros(0, int), np.zeros(0)))
+    assert abs(Q.combined(odds, odds, view.prior)[0] - np.log(3)) < 0.1
+
+
+def test_very_long_text_and_ties(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(["alpha " * 200_000, "x" * 1_000_000, "alpha", "alpha"] + ["beta"] * 8)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.score for r in Q.predictions(docs, spark.createDataFrame([(2, 1), (4, 0), (5, 0), (3, 1)], "doc_id long, quality int")).collect()}
+    assert len(got) == 12 and len({got[i] for i in range(4, 12)}) == 1
