@@ -9,18 +9,24 @@ each.  Every block is a node of a flow network:
 * smoothness edges join neighbouring blocks and blocks of one parent; they are the stronger
   the more ancestors two blocks share.
 
-A maximum flow (shortest augmenting paths) separates the blocks at the cheapest cut; blocks
-on the source's side are the text.  What can never be text (scripts, styles, markup, forms
+A maximum flow separates the blocks at the cheapest cut; blocks on the source's side are the text.
+Blocks whose evidence outweighs all their edges are settled without flow, so it runs on the doubtful
+ones only.  What can never be text (scripts, styles, markup, forms
 and the like) is not read into blocks at all.  A page's network has as many nodes as blocks
 and a few edges each; pages are independent, so there is no shuffle.
 
-Null, empty and block-less pages give an empty text.  Repeated rows are extracted alike,
-other columns pass by unread and an empty table gives an empty result.
+The costs are fixed values and not fitted: no table labels blocks.  A form around an article or a
+main part holds the page and is read; other forms are not.
+
+Null, empty and block-less pages give an empty text.  Very long pages are read whole.  Ties of cost
+count as boilerplate.  Repeated rows are extracted alike, other columns pass by unread and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -50,6 +56,7 @@ _BOILER = re.compile(
     re.I,
 )
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
+_FORM_PART = re.compile(r"<(/form|article|main)(?=[\s>/])", re.I)
 _SPACES = re.compile(r"\s+")
 
 #: Cost of calling boilerplate content, and content boilerplate, by evidence.
@@ -70,7 +77,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str, int]] = []
     pieces: list[str] = []
-    linked = count = skipping = links = 0
+    linked = count = skipping = links = held_forms = 0
+    ahead = (-1, False)  # where the next form ends or a main part begins, and which of them
     seen = 0
 
     def close_block():
@@ -89,6 +97,14 @@ def blocks(page: str) -> list[Block]:
             skipping -= tag in SKIPPED
             links -= tag == "a"
 
+    def holds_a_page() -> bool:
+        """Whether the form that has just begun has an article or a main part in it; the page is searched once for all forms."""
+        nonlocal ahead
+        if ahead[0] < seen:
+            part = _FORM_PART.search(page, seen)
+            ahead = (part.start(), part.group(1).lower() != "/form") if part else (len(page), False)
+        return ahead[1]
+
     def add(text: str):
         nonlocal linked
         if stack and stack[-1][0] == "head" and text.strip():  # text can't be in a head, so the body has begun
@@ -111,6 +127,8 @@ def blocks(page: str) -> list[Block]:
                 add(m.group()[9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
+        if tag == "form" and m.group(1) and held_forms:
+            tag, held_forms = "div", held_forms - 1
         if m.group(1):
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag in BLOCK:
@@ -138,6 +156,10 @@ def blocks(page: str) -> list[Block]:
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(m.group(3))) if m.group(3) else ""
         count += 1
         stack.append((tag, names, count))
+        if tag == "form" and holds_a_page():
+            stack[-1] = ("div", names, count)
+            held_forms += 1
+            continue
         skipping += tag in SKIPPED
         links += tag == "a"
     close_block()
@@ -175,39 +197,99 @@ def costs(block: Block, has_article: bool) -> tuple[float, float]:
     return content, boiler
 
 
+def _settled(excess: list[float], near: list[dict[int, float]]) -> list[bool | None]:
+    """Labels that every minimum cut can have; ``excess`` is content's evidence less boilerplate's.
+
+    A block with more evidence than all its edges weigh has that label whatever the others have, and
+    what its edges weigh becomes evidence of its neighbours.  Each edge is looked at twice at most.
+    """
+    label: list[bool | None] = [None] * len(excess)
+    weight = [sum(e.values()) for e in near]
+    waiting = list(range(len(excess)))
+    while waiting:
+        i = waiting.pop()
+        if label[i] is None and abs(excess[i]) >= weight[i]:
+            label[i] = excess[i] > 0
+            for j, w in near[i].items():
+                if label[j] is None:
+                    excess[j] += w if label[i] else -w
+                    weight[j] -= w
+                    waiting.append(j)
+    return label
+
+
+def _flow(nodes: list[int], excess: list[float], near: list[dict[int, float]]) -> set[int]:
+    """Content's side of a minimum cut of connected blocks, by blocking flows on levels."""
+    left = {i: dict(near[i]) for i in nodes}
+    gives = {i: excess[i] for i in nodes if excess[i] > 0}
+    takes = {i: -excess[i] for i in nodes if excess[i] < 0}
+    while True:
+        level = {i: 0 for i, x in gives.items() if x > 1e-9}
+        queue = deque(level)
+        reached = False
+        while queue:
+            i = queue.popleft()
+            reached |= takes.get(i, 0.0) > 1e-9
+            for j, w in left[i].items():
+                if w > 1e-9 and j not in level:
+                    level[j] = level[i] + 1
+                    queue.append(j)
+        if not reached:
+            return set(level)
+        open_edges = {i: iter(list(left[i])) for i in level}
+        for start in [i for i, n in level.items() if n == 0]:
+            path = [start]
+            while path and gives[start] > 1e-9:
+                i = path[-1]
+                if takes.get(i, 0.0) > 1e-9:
+                    pushed = min([gives[start], takes[i], *(left[a][b] for a, b in zip(path, path[1:], strict=False))])
+                    gives[start] -= pushed
+                    takes[i] -= pushed
+                    for a, b in zip(path, path[1:], strict=False):
+                        left[a][b] -= pushed
+                        left[b][a] = left[b].get(a, 0.0) + pushed
+                    full = next((k for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if left[a][b] <= 1e-9), None)
+                    if full is not None:
+                        del path[full + 1 :]
+                    continue
+                for j in open_edges[i]:
+                    if left[i].get(j, 0.0) > 1e-9 and level.get(j) == level[i] + 1:
+                        open_edges[i] = itertools.chain([j], open_edges[i])  # it may take more
+                        path.append(j)
+                        break
+                else:
+                    path.pop()
+                    if path:
+                        next(open_edges[path[-1]], None)
+
+
 def _cut(content: list[float], boiler: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Source side of a minimum cut; terminal capacities cancel first, so most nodes need no path."""
-    n = len(content)
-    source, sink = n, n + 1
-    graph: list[dict[int, float]] = [{} for _ in range(n + 2)]
-    for i in range(n):
-        d = content[i] - boiler[i]
-        if d > 0:
-            graph[source][i], graph[i][source] = d, 0.0
-        elif d < 0:
-            graph[i][sink], graph[sink][i] = -d, 0.0
+    """Content's side of a minimum cut.
+
+    Terminal capacities of a block cancel; blocks with decisive evidence are settled first, and a
+    maximum flow separates each connected group of the others.
+    """
+    near: list[dict[int, float]] = [{} for _ in content]
     for a, b, w in edges:
-        graph[a][b] = graph[a].get(b, 0.0) + w
-        graph[b][a] = graph[b].get(a, 0.0) + w
-    while True:
-        came = {source: source}
-        queue = deque([source])
-        while queue and sink not in came:
-            a = queue.popleft()
-            for b, w in graph[a].items():
-                if w > 1e-9 and b not in came:
-                    came[b] = a
-                    queue.append(b)
-        if sink not in came:
-            return [i in came for i in range(n)]
-        path, b = [], sink
-        while b != source:
-            path.append((came[b], b))
-            b = came[b]
-        flow = min(graph[a][b] for a, b in path)
-        for a, b in path:
-            graph[a][b] -= flow
-            graph[b][a] = graph[b].get(a, 0.0) + flow
+        near[a][b] = near[a].get(b, 0.0) + w
+        near[b][a] = near[b].get(a, 0.0) + w
+    excess = [c - b for c, b in zip(content, boiler, strict=True)]
+    label = _settled(excess, near)
+    open_blocks = {i for i, x in enumerate(label) if x is None}
+    for i in open_blocks:
+        near[i] = {j: w for j, w in near[i].items() if j in open_blocks}
+    while open_blocks:
+        group, queue = [], [open_blocks.pop()]
+        while queue:
+            i = queue.pop()
+            group.append(i)
+            fresh = [j for j in near[i] if j in open_blocks]
+            open_blocks.difference_update(fresh)
+            queue += fresh
+        content_side = _flow(group, excess, near)
+        for i in group:
+            label[i] = i in content_side
+    return [bool(x) for x in label]
 
 
 def extract(page: str | None) -> str:

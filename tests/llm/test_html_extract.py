@@ -52,3 +52,42 @@ def test_head_without_an_end_tag():
     for rest in ("<body><main><p>The text of it</p></main></body></html>", "<p>The text of it</p>", "The text of it", "</head><body><p>The text of it</p>"):
         assert [b.text for b in H.blocks(start + rest)] == ["The text of it"]
         assert H.extract(start + rest) == ("" if rest[0] == "T" else "The text of it")  # bare short text counts as boilerplate, with a closed head too
+
+
+def test_cut_is_minimal_on_doubtful_pages():
+    """Edges heavier than the evidence, so that flow decides; compared with all labellings."""
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randrange(2, 9)
+        c = [rng.choice([0, 0.4, 1, rng.random()]) for _ in range(n)]
+        b = [rng.choice([0, 0.5, 1, rng.random()]) for _ in range(n)]
+        edges = [(i - 1, i, rng.choice([0.3, 2.0])) for i in range(1, n)] + [(i, j, 0.6) for i in range(n) for j in range(i) if rng.random() < 0.3]
+
+        def price(side):
+            return sum(b[i] if side[i] else c[i] for i in range(n)) + sum(w for i, j, w in edges if side[i] != side[j])  # noqa: B023
+
+        assert abs(price(H._cut(c, b, edges)) - min(price(s) for s in itertools.product([True, False], repeat=n))) < 1e-6
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (2_000, 40_000):
+        page = "<body>" + "".join(f"<div>short {i}</div><p>A paragraph that is long enough to be called one of the longer ones, number {i}.</p>" for i in range(n // 2)) + "</body>"
+        began = time.perf_counter()
+        H.extract(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 60 * took[0] + 1
+
+
+def test_form_around_a_page():
+    page = "<body><form id=f><nav>Menu</nav><main><p>The words of the article are in here.</p><button>Go</button></main></form><form>Search<input></form><footer>f</footer></body>"
+    assert H.extract(page) == "The words of the article are in here."
+    assert H.extract("<form><p>Search all of our many articles with words of your own, quick and easy to do.</p></form>") == ""
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    page = "<main><p>same text</p></main>"
+    pages = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "y"), (None, None, None, "z")], "page_id long, url string, html string, text string")
+    assert sorted(map(tuple, H.main_text(pages).collect()), key=str) == sorted([(1, "u", "same text", 9), (1, "u", "same text", 9), (None, None, "", 0)], key=str)
