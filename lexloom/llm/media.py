@@ -4,15 +4,19 @@
 ``ROW`` samples), each payload an 8-bit grey PNG of ``ROW`` samples a line, and each task packs
 its images as members of ZIP archives in the shared folder.  Archives have new names for every
 task attempt; a table written by Spark lists those of successful attempts, so an archive left
-by a lost executor is never read.
+by a lost executor is never read.  An attempt that fails removes its own archives.
 
 *Reading.*  ``MediaArchiveSource`` plans byte-range partitions over the listed archives: a
 partition reads an archive's directory and takes the members whose offset lies in its range.
 Members stream out in Arrow batches of bounded size.  A member that can't be read is tried
 again on its own, by its offset, with the archive opened anew; only then does the task fail.
 
-Null texts count as empty.  Repeated rows are members of their own.  Other columns are ignored
-and an empty table gives an empty result.
+A text's own length is measured on the samples read back: byte 255 occurs in no UTF-8 text, so
+what stands before the filling is the text.
+
+Null texts count as empty.  Very long texts are stored whole, as one image.  Repeated rows are
+members of their own, null ids too; there are no ties.  Other columns are ignored and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,6 +58,21 @@ def payload_of(text: str | None) -> bytes:
     return raw.ljust(max(1, -(-len(raw) // ROW)) * ROW, b"\xff")
 
 
+def own_bytes(payload: bytes) -> bytes:
+    """A payload without its filling."""
+    return payload.rstrip(b"\xff")
+
+
+def arrow_uri(uri: str) -> str:
+    """A place of Spark's as Arrow writes it: the names that Hadoop has for S3 mean S3."""
+    scheme, _, rest = uri.partition("://")
+    return f"s3://{rest}" if scheme in ("s3a", "s3n") else uri
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(arrow_uri(uri))
+
+
 def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", binascii.crc32(kind + body))
 
@@ -101,8 +120,10 @@ def feature(payload: bytes) -> str:
 
 def _archives(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """Write archives; one row for each finished one."""
-    system, base = fs.FileSystem.from_uri(folder)
+    system, base = file_system(folder)
     system.create_dir(base, recursive=True)
+    names: list[str] = []
+    complete = False
 
     def finished(name, archive, sink, members):
         archive.close()
@@ -112,21 +133,30 @@ def _archives(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Rec
 
     archive = None
     members = 0
-    for batch in batches:
-        for part in chunks(batch):
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                if archive is None:
-                    name = f"{uuid.uuid4().hex}.zip"
-                    sink = system.open_output_stream(f"{base}/{name}")
-                    archive, members = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, strict_timestamps=False), 0
-                size = len((text or "").encode("utf-8", "surrogatepass"))
-                archive.writestr(zipfile.ZipInfo(f"{members}.{'' if doc is None else doc}.{size}.png"), png(payload_of(text)))
-                members += 1
-                if sink.tell() >= ARCHIVE_BYTES:
-                    yield finished(name, archive, sink, members)
-                    archive = None
-    if archive is not None:
-        yield finished(name, archive, sink, members)
+    try:
+        for batch in batches:
+            for part in chunks(batch):
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if archive is None:
+                        name = f"{uuid.uuid4().hex}.zip"
+                        names.append(name)
+                        sink = system.open_output_stream(f"{base}/{name}")
+                        archive, members = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, strict_timestamps=False), 0
+                    archive.writestr(zipfile.ZipInfo(f"{members}.{'' if doc is None else doc}.png"), png(payload_of(text)))
+                    members += 1
+                    if sink.tell() >= ARCHIVE_BYTES:
+                        yield finished(name, archive, sink, members)
+                        archive = None
+        if archive is not None:
+            yield finished(name, archive, sink, members)
+        complete = True
+    finally:
+        if not complete:  # another attempt writes its own
+            for name in names:
+                try:
+                    system.delete_file(f"{base}/{name}")
+                except OSError:
+                    pass
 
 
 def write_archives(docs: DataFrame) -> DataFrame:
@@ -150,7 +180,7 @@ class _Reader(DataSourceReader):
         self.part_bytes = int(options.get("partbytes", options.get("partBytes", PART_BYTES)))
 
     def partitions(self) -> list[_Range]:
-        system, base = fs.FileSystem.from_uri(self.table)
+        system, base = file_system(self.table)
         out = []
         for info in system.get_file_info(fs.FileSelector(base)):
             if info.is_file and info.base_name.startswith("part-") and info.extension == "parquet":
@@ -187,7 +217,7 @@ class _Archive:
     """An open archive; reads that fail are tried again with the file opened anew."""
 
     def __init__(self, uri: str):
-        self.system, self.path = fs.FileSystem.from_uri(uri)
+        self.system, self.path = file_system(uri)
         self.file = None
 
     def __enter__(self):
@@ -252,9 +282,9 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for member, image in zip(batch.column("member").to_pylist(), batch.column("image").to_pylist(), strict=True):
-            _, doc, size, _ = member.split(".")
+            doc = member.split(".")[1]
             x = samples(image)
-            rows.append((int(doc) if doc else None, int(size), len(x), hashlib.sha256(x).hexdigest(), binascii.crc32(x[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(x)))
+            rows.append((int(doc) if doc else None, len(own_bytes(x)), len(x), hashlib.sha256(x).hexdigest(), binascii.crc32(x[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(x)))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
@@ -271,6 +301,6 @@ def payloads(members: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = [(m.split("."), samples(i)) for m, i in zip(batch.column("member").to_pylist(), batch.column("image").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(m[1]) if m[1] else None for m, _ in out], pa.int64()), pa.array([x[: int(m[2])] for m, x in out], pa.binary())], ["doc_id", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(m[1]) if m[1] else None for m, _ in out], pa.int64()), pa.array([own_bytes(x) for _, x in out], pa.binary())], ["doc_id", "payload"])
 
     return members.select("member", "image").mapInArrow(run, "doc_id long, payload binary")
