@@ -3,10 +3,11 @@
 ``ledger`` evaluates every rule once per document and stores the measurements and one
 failure bit per rule.  Policies are versioned sets of rules; applying one is a bitwise
 *and* with the ledger, and ablations (what a policy keeps if one rule is taken out) are
-one aggregation over the bits.  Neither reads the texts again.
+one aggregation over the bits.  ``stored`` writes the ledger to a table, so neither reads the texts again.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  Null and empty texts have no words: all measurements
-are 0 and only the rules on too few words fail.  Repeated rows are measured one by one;
+are 0 and only the rules on too few words fail.  Very long texts are measured whole; there are no
+ties.  An empty table gives an empty ledger.  Repeated rows are measured one by one;
 extra columns are kept by ``ledger`` unless their names clash with its own, which win.
 """
 
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 #: White space between words.
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -135,6 +138,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured(docs).drop("text", "failed").withColumn("failed", mask)
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger as a table in the shared folder, so that policies and ablations read bits and not texts."""
+    return materialize(ledger(docs), "ledger")
+
+
 def apply_policy(led: DataFrame, version: str) -> DataFrame:
     """The ledger with ``kept``: no rule of the policy failed."""
     return led.withColumn("kept", F.col("failed").bitwiseAND(F.lit(policy_mask(version))) == 0)

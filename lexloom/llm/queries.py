@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html_extract, media, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
-from .sql import QUALITY_RULES_SQL
+from .sql import QUALITY_ABLATIONS_SQL, QUALITY_RULES_SQL
 from .storage import table
 
 #: Vocabularies, by name in the installed tokenizer package.
@@ -41,14 +41,19 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's measurements, base verdict and verdict of policy v1."""
-    led = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document's measurements, base verdict and verdict of policy v1, from the stored ledger."""
+    led = quality_rules.stored(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("failed").bitwiseAND(F.lit(quality_rules.policy_mask("base"))) != 0
     return quality_rules.apply_policy(led, "v1").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed"
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v2 does, over all documents, from the stored ledger."""
+    return quality_rules.ablations(quality_rules.stored(table(spark, sf_dir, "documents").select("doc_id", "text")), "v2")
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as an image in an archive, read back by the data source and described."""
     return media.describe(media.read_archives(media.write_archives(table(spark, sf_dir, "documents"))))
@@ -79,11 +84,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_token_counts, op2_toxicity, op3_byte_bpe, op4_html_extraction, op5_quality_rules,
+            op1_token_counts, op2_toxicity, op3_byte_bpe, op4_html_extraction, op5_quality_rules, quality_ablations,
             op6_media_columns, op7_source_mixing, op8_ngram_jaccard_join, op9_substring_dedup, op10_quality_classifier,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": QUALITY_RULES_SQL}
+    return {"op5_quality_rules": QUALITY_RULES_SQL, "quality_ablations": QUALITY_ABLATIONS_SQL}

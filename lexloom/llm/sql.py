@@ -42,3 +42,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed & 3) <> 0 AS base_failed, (failed & 287) = 0 AS kept, failed
 FROM f
 """
+
+_BITS = ["few_words", "repeated_windows", "symbol_heavy", "repeated_lines", "shouting", "short_words", "long_words", "endless_word", "stutter"]
+QUALITY_ABLATIONS_SQL = (
+    QUALITY_RULES_SQL.rpartition("SELECT doc_id")[0]
+    + ", r AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in _BITS) + "]) AS rule, unnest(range(0, 9)) AS bit)\n"
+    + "SELECT rule, count(*) FILTER ((failed & (1 << bit)) <> 0) AS n_failed, count(*) FILTER (failed = (1 << bit)) AS n_only, count(*) FILTER (failed = 0 OR failed = (1 << bit)) AS kept_without\n"
+    + "FROM f, r GROUP BY rule"
+)

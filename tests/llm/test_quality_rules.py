@@ -2,6 +2,7 @@ import random
 import re
 
 import duckdb
+import pytest
 
 from lexloom.llm import queries as Q
 from lexloom.llm import quality_rules as R
@@ -43,10 +44,17 @@ def test_policy_and_ablations(spark):
     assert R.ledger(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_sql_gives_the_same(spark):
+@pytest.mark.parametrize("name, by", [("op5_quality_rules", "doc_id"), ("quality_ablations", "rule")])
+def test_sql_gives_the_same(spark, name, by):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
-    sql = con.execute(Q.oracle_sql()["op5_quality_rules"]).to_arrow_table().to_pylist()
-    got = [r.asDict() for r in Q.op5_quality_rules(spark, SF).collect()]
-    key = lambda r: r["doc_id"]
+    sql = con.execute(Q.oracle_sql()[name]).to_arrow_table().to_pylist()
+    got = [r.asDict() for r in Q.queries()[name](spark, SF).collect()]
+    key = lambda r: r[by]
     assert sorted(got, key=key) == sorted(sql, key=key)
+
+
+def test_very_long_text(spark):
+    text = "x" * 1_000_000 + " " + "one two three four five six seven eight nine " * 20_000
+    got = R.ledger(spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")).collect()
+    assert {(r.n_words, r.word_chars, r.n_repeat_words) for r in got} == {(180_001, 1_000_000 + 36 * 20_000, 180_000)} and len(got) == 3
