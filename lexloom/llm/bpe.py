@@ -4,7 +4,8 @@
    (``BLOCK_BYTES`` of text).  A block keeps the word number at each position of each of its
    documents; its distinct words go out in one packed row for each bucket of word hashes.
 2. *Encode each distinct word once.*  All occurrences of a word in any block meet in its
-   bucket, where the word passes through the BPE merges once.
+   bucket, where the word passes through the BPE merges once; a task holds the words of one
+   bucket at a time.
 3. *Join ids back.*  The ids return to the blocks, again in packed rows.  A word travels once
    for each block and not for each occurrence, so even the most frequent one stays small.
 4. *Reassemble by position.*  Block by block, ids and positions give each document's ids.
@@ -48,8 +49,6 @@ from .workers import lean
 BLOCK_BYTES = 8 << 20
 #: Least number of word buckets; twice the shuffle partitions if that is more.
 LEAST_BUCKETS = 128
-#: Encoded words that a task remembers; one that was forgotten is encoded again.
-REMEMBERED = 200_000
 
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
@@ -211,9 +210,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int, buckets: int) -
 
 @lean
 def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """The ids of each packed list of words: how many each word has, then all of them."""
+    """The ids of each packed list of words, sorted by bucket: how many each word has, then all of them."""
     coder, ranks = _coder(path), load_ranks(path)
-    known: dict[bytes, list[int]] = {}
+    known: dict[bytes, list[int]] = {}  # the words of one bucket
+    bucket = None
     held: list[tuple[int, int, int, bytes]] = []
     size = 0
 
@@ -225,9 +225,11 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
 
     for batch in batches:
         for row in range(batch.num_rows):
-            first = batch.column("first")[row].as_py()
+            first, key = batch.column("first")[row].as_py(), batch.column("key")[row].as_py()
             if first < 0:
                 continue
+            if key != bucket:
+                known, bucket = {}, key
             body = zstandard.decompress(batch.column("packed")[row].as_py())
             n = int.from_bytes(body[:4], "little")
             edges = np.append(0, np.cumsum(np.frombuffer(body, np.uint32, count=n, offset=4), dtype=np.int64)).tolist()
@@ -240,8 +242,6 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
                     ids = known[w] = [whole] if whole is not None else coder._encode_single_piece(w)
                 lens.append(len(ids))
                 flat += ids
-            if len(known) > REMEMBERED:
-                known.clear()
             held.append((batch.column("block")[row].as_py(), first, n, _pack(np.array(lens + flat, np.uint32))))
             size += len(held[-1][3])
             if size > 4 << 20:
@@ -323,7 +323,7 @@ def _by_block(docs: DataFrame, path: str, block_bytes: int, finish, schema: str,
     spark = docs.sparkSession
     buckets = max(LEAST_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(place).cast("long").alias("place") if place else F.lit(None).cast("long").alias("place"))
-    dealt = rows.mapInArrow(functools.partial(_blocks, block_bytes=block_bytes, buckets=buckets), _SHUFFLED).repartition("key")
+    dealt = rows.mapInArrow(functools.partial(_blocks, block_bytes=block_bytes, buckets=buckets), _SHUFFLED).repartition("key").sortWithinPartitions("key")
     coded = dealt.mapInArrow(functools.partial(_encode_words, path=path), "block long, first long, words long, packed binary")
     return dealt.groupBy("key").cogroup(coded.groupBy("block")).applyInArrow(finish, schema)
 
