@@ -14,6 +14,11 @@ all distinct sets; a set orders its n-grams from rare to common and enters the l
 no list, so a text without near copies sends nothing on, and an n-gram of a common passage comes
 last.  A set that shares less than 85 % of its n-grams with the rest of the corpus is dropped.
 
+N-grams that hold more than the ``2 ** -18``-th part of all occurrences are at most ``2 ** 18``.  They
+are found from counts that each chunk of texts adds up first, and are broadcast.  They need no
+counting, so they go to the buckets of their sets and not to one of their own: an n-gram that a
+third of all texts have makes no task larger than others.
+
 The boundary is the one with the fewest bytes to move, from the histogram of small set sizes.
 Light sets within reach of the boundary take part both ways.
 
@@ -59,6 +64,8 @@ PERCENT = 85
 MAX_SUBSETS = 200
 #: N-grams in a bucket of the frequency count, about.
 BUCKET_GRAMS = 3_000_000
+#: N-grams that are broadcast with their counts, at most.
+MOST_COMMON = 1 << 18
 #: Bytes of an n-gram in the exchange; its bucket stands for the highest bits.
 TOKEN_BYTES = 5
 #: Rounds that compare with one head of each list before the rest is compared.
@@ -123,12 +130,22 @@ def subset_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return mix64(np.concatenate(keys) ^ np.uint64(0x11C7)), np.concatenate(sizes)
 
 
-_MEMBERS = "doc_id long, n_shingles long, k1 long, k2 long, subsets array<struct<key:long,kept:int>>"
+_MEMBERS = "doc_id long, n_shingles long, k1 long, k2 long, subsets array<struct<key:long,kept:int>>, common array<struct<gram:long,n:int>>"
+
+
+def _common(sets: list[np.ndarray]) -> list[dict]:
+    """N-grams that hold a large part of a chunk's, with the sets that have them; one of the whole corpus does so in some chunk."""
+    flat = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+    start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(flat)))
+    held = np.flatnonzero(count >= max(3, math.ceil(len(flat) / MOST_COMMON)))
+    return [{"gram": g, "n": n} for g, n in zip(flat[start[held]].view(np.int64).tolist(), count[held].tolist(), strict=True)]
 
 
 @lean
 def _members(batches, width, percent, largest):
     kind = pa.list_(pa.struct([("key", pa.int64()), ("kept", pa.int32())]))
+    common = pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int32())]))
     for batch in batches:
         for part, sets in ngram_sets(batch, width):
             keys = [_set_key(s) for s in sets]
@@ -140,7 +157,8 @@ def _members(batches, width, percent, largest):
                 else:
                     subsets.append(None)
             cols = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed([k[0] for k in keys]), _signed([k[1] for k in keys]), pa.array(subsets, kind)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "k1", "k2", "subsets"])
+            cols.append(pa.array([_common(list(dict(zip(keys, sets, strict=True)).values()))] + [None] * (len(sets) - 1), common))  # with the chunk's first row
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "k1", "k2", "subsets", "common"])
 
 
 @lean
@@ -155,23 +173,29 @@ def _keyed_rows(batches, width, columns, names):
 # ---------------------------------------------------------------- document frequencies
 
 
-_PACKED = "bucket long, nodes binary, sizes binary, counts binary, tokens binary"
+_PACKED = "bucket long, nodes binary, sizes binary, counts binary, tokens binary, ranks binary"
 
 
-def _packed(bucket: np.ndarray, node: np.ndarray, size: np.ndarray, tokens: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+def _packed(bucket: np.ndarray, node: np.ndarray, size: np.ndarray, tokens: np.ndarray, ranks: np.ndarray | None = None) -> pa.RecordBatch:
     """One row per bucket of items sorted by bucket and node: nodes, sizes and counts of items once per node."""
     fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]))
     run = np.flatnonzero(fresh)
     first = np.flatnonzero(np.append(True, bucket[run[1:]] != bucket[run[:-1]]))
     runs, items = np.append(first, len(run)), np.append(run[first], len(node))
     counts = np.diff(np.append(run, len(node))).astype(np.int32)
-    cols = [pa.array(bucket[run[first]]), pieces(node[run], runs), pieces(size[run].astype(np.int32), runs), pieces(counts, runs), pieces(tokens, items), *(pieces(x, items) for x in more)]
-    return pa.RecordBatch.from_arrays(cols, ["bucket", "nodes", "sizes", "counts", "tokens", *(["ranks"] if more else [])])
+    cols = [pa.array(bucket[run[first]]), pieces(node[run], runs), pieces(size[run].astype(np.int32), runs), pieces(counts, runs), pieces(tokens, items), pa.nulls(len(first), pa.binary()) if ranks is None else pieces(ranks, items)]
+    return pa.RecordBatch.from_arrays(cols, ["bucket", "nodes", "sizes", "counts", "tokens", "ranks"])
+
+
+def _ids(low: np.ndarray, bucket) -> np.ndarray:
+    """The number of an n-gram: its low bytes, and its bucket above them."""
+    return low | (np.asarray(bucket).astype(np.uint64) << np.uint64(8 * TOKEN_BYTES))
 
 
 @lean
-def _token_rows(batches, width, buckets, least):
-    """The n-grams of the distinct sets of each chunk, by bucket of the n-gram."""
+def _token_rows(batches, width, buckets, least, common):
+    """The n-grams of the distinct sets of each chunk, by bucket of the n-gram; common ones, with their ranks, by bucket of the set behind those."""
+    grams, ranks = common.value
     for batch in batches:
         for _, sets in ngram_sets(batch, width):
             own = {_set_key(s)[0]: s for s in sets if len(s) >= least}
@@ -180,10 +204,22 @@ def _token_rows(batches, width, buckets, least):
             sizes = np.array([len(s) for s in own.values()])
             node = np.repeat(np.fromiter(own, np.uint64, len(own)), sizes)
             flat = np.concatenate(list(own.values()))
+            sizes = np.repeat(sizes, sizes)
+            if len(grams):
+                at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
+                known = grams[at] == flat
+                if known.any():
+                    own_bucket = buckets + bucket_of(node[known], buckets)
+                    order = np.lexsort((node[known], own_bucket))
+                    low = flat[known] & np.uint64((1 << 8 * TOKEN_BYTES) - 1)
+                    yield _packed(own_bucket[order], node[known][order], sizes[known][order], _ids(low, bucket_of(flat[known], buckets))[order], ranks[at[known]][order])
+                    flat, node, sizes = flat[~known], node[~known], sizes[~known]
+            if not len(flat):
+                continue
             bucket = bucket_of(flat, buckets)
             order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
             low = flat[order].view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
-            yield _packed(bucket[order], node[order], np.repeat(sizes, sizes)[order], low)
+            yield _packed(bucket[order], node[order], sizes[order], low)
 
 
 def _by_bucket(batches) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -194,7 +230,7 @@ def _by_bucket(batches) -> Iterator[tuple[int, list[np.ndarray]]]:
     def whole():
         nodes, sizes, counts = (np.concatenate([np.frombuffer(r[i], t) for r in held]) for i, t in ((0, np.uint64), (1, np.int32), (2, np.int32)))
         items = [np.repeat(nodes, counts), np.repeat(sizes, counts), np.frombuffer(b"".join(r[3] for r in held), np.uint8)]
-        return now, [*items, *([np.frombuffer(b"".join(r[4] for r in held), np.int64)] if len(held[0]) > 4 else [])]
+        return now, [*items, np.frombuffer(b"".join(r[4] or b"" for r in held), np.int64)]
 
     for batch in batches:
         for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -210,7 +246,14 @@ def _by_bucket(batches) -> Iterator[tuple[int, list[np.ndarray]]]:
 @lean
 def _recurring_rows(batches, buckets):
     """N-grams that at least two sets have, with their rank (frequency), by bucket of the node."""
-    for bucket, (node, size, raw) in _by_bucket(batches):
+    for bucket, (node, size, raw, rank) in _by_bucket(batches):
+        if bucket >= buckets:  # common ones; copies of a set came from several chunks
+            token = raw.view(np.uint64)
+            order = np.lexsort((token, node))
+            node, size, token, rank = node[order], size[order], token[order], rank[order]
+            once = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
+            yield _packed(np.full(int(once.sum()), bucket - buckets), node[once], size[once], token[once], rank[once])
+            continue
         wide = np.zeros((len(node), 8), np.uint8)
         wide[:, :TOKEN_BYTES] = raw.reshape(-1, TOKEN_BYTES)
         token = wide.reshape(-1).view(np.uint64)
@@ -231,7 +274,7 @@ def _recurring_rows(batches, buckets):
         keep = rank > 1
         if not keep.any():
             continue
-        token, node, size, rank = token[keep] | np.uint64((bucket << 8 * TOKEN_BYTES) & (1 << 64) - 1), node[keep], size[keep], rank[keep]
+        token, node, size, rank = _ids(token[keep], bucket), node[keep], size[keep], rank[keep]
         goal = bucket_of(node, buckets)
         order = np.lexsort((node, goal))
         yield _packed(goal[order], node[order], size[order], token[order], rank[order])
@@ -325,11 +368,15 @@ def _pair(x: str, y: str) -> list:
 class _Heavy:
     """Distinct sets that can have partners, and their inverted lists."""
 
-    def __init__(self, docs: DataFrame, grams: int, width: int, percent: int, least: int):
+    def __init__(self, docs: DataFrame, members: DataFrame, width: int, percent: int, least: int):
         self.percent = percent
+        grams = members.agg(F.sum("n_shingles")).first()[0] or 0
         buckets = max(1, math.ceil(grams / BUCKET_GRAMS))
-        rows = docs.select("text").mapInArrow(functools.partial(_token_rows, width=width, buckets=buckets, least=least), _PACKED)
-        counted = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(functools.partial(_recurring_rows, buckets=buckets), _PACKED + ", ranks binary")
+        some = members.where("common is not null").select(F.inline("common")).groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= grams / MOST_COMMON).collect()  # MOST_COMMON rows at most
+        found = sorted((r.gram & (1 << 64) - 1, r.n) for r in some)
+        common = docs.sparkSession.sparkContext.broadcast((np.array([g for g, _ in found], np.uint64), np.array([n for _, n in found], np.int64)))
+        rows = docs.select("text").mapInArrow(functools.partial(_token_rows, width=width, buckets=buckets, least=least, common=common), _PACKED)
+        counted = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(functools.partial(_recurring_rows, buckets=buckets), _PACKED)
         self.sets = materialize(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(functools.partial(_set_rows, percent=percent), _SETS), "sets")
         entries = _lists(self.sets, percent)
         shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -391,8 +438,7 @@ def _started(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     members = materialize(docs.mapInArrow(functools.partial(_members, width=width, percent=percent, largest=largest_light(percent)), _MEMBERS), "members")
     boundary = choose_boundary(members, percent)
     light = materialize(_light_links(_distinct_sets(members), boundary, percent), "links")
-    grams = members.agg(F.sum("n_shingles")).first()[0] or 0
-    return members, light, _Heavy(docs, grams, width, percent, percent * (boundary + 1) // 100)
+    return members, light, _Heavy(docs, members, width, percent, percent * (boundary + 1) // 100)
 
 
 def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:

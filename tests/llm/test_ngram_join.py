@@ -104,9 +104,12 @@ def test_light_sets_share_a_subset(size):
             assert shared.size and max(na[np.isin(ka, shared)]) == i == max(nb[np.isin(kb, shared)])
 
 
-def test_many_small_buckets_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("common", [1 << 18, 100, 1])
+def test_many_small_buckets_give_the_same(spark, monkeypatch, common):
+    """With every, some and no n-gram counted as common."""
     rows = family_rows(random.Random(11))
     monkeypatch.setattr(ngram_join, "BUCKET_GRAMS", 100)
+    monkeypatch.setattr(ngram_join, "MOST_COMMON", common)
     for width, percent in ((4, 85), (5, 80), (2, 60)):
         got = sorted(map(tuple, link_components(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()))
         assert got == brute(rows, width, percent)
