@@ -6,10 +6,11 @@ are judged on the input.
 
 1. *Anchors.*  Each window's anchor is its short word run with the smallest hash, so equal
    windows have equal anchors at equal offsets and about one word in fifteen is an anchor.
-   Anchors are counted over all documents; they travel packed, a row per chunk and bucket.
+   Anchors are counted over all documents; each chunk of texts adds its own up first, and they
+   travel packed, a row per chunk and bucket.
 2. *Segments.*  Where an anchor occurs at least twice, the stretch of words whose windows have
-   that anchor is sent to the anchor's shard, equal stretches of a chunk of documents together.
-   An anchor that occurs more than ``CROWD`` times sends its windows one by one, keyed by the
+   that anchor is sent to the anchor's shard.  A stretch that a chunk of documents holds twice
+   recurs as a whole: it is sent once, and its other places are cuts already.  An anchor that occurs more than ``CROWD`` times sends its windows one by one, keyed by the
    window, so that no shard depends on one phrase.
 3. *Automata.*  A shard takes its segments key by key.  Windows that occur at least twice are
    the confirmed recurring passages; the ends of each confirmed stretch are compiled into an
@@ -51,7 +52,8 @@ from .workers import lean
 WIDTH = 35
 #: Words in an anchor.
 ANCHOR = 8
-#: Occurrences from which an anchor's windows are routed one by one.
+#: Occurrences from which an anchor's windows are routed one by one; in a large corpus its 2 ** 20-th part, so that
+#: crowded anchors are a bounded number.  It changes routes and no results.
 CROWD = 5000
 #: Words of distinct segments compiled and searched at once.
 AUTOMATON_WORDS = 400_000
@@ -105,21 +107,27 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, Words(part.column("text"))
 
 
+_PACKED = "bucket long, a binary, b binary, c binary"
+#: Bucket of the crowded anchors.
+_CROWDED = -1
+
+
 def _grouped(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket with the packed items of each column."""
+    """One row per bucket with the packed items of up to three columns."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     bounds = np.append(first, len(bucket))
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *(pieces(c[order], bounds) for c in columns)], ["bucket", *"abc"[: len(columns)]])
+    cols = [pieces(c[order], bounds) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *cols, *[pa.nulls(len(first), pa.binary())] * (3 - len(cols))], ["bucket", "a", "b", "c"])
 
 
-def _regrouped(batches, kinds) -> Iterator[list[np.ndarray]]:
-    """The items of each bucket, of rows sorted by bucket."""
+def _regrouped(batches) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(bucket, its items of the three columns) of rows sorted by bucket."""
     held, now = [], None
 
     def whole():
-        return [np.frombuffer(b"".join(r[i] for r in held), t) for i, t in enumerate(kinds)]
+        return now, [np.frombuffer(b"".join(r[i] or b"" for r in held), np.uint64) for i in range(3)]
 
     for batch in batches:
         for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -134,44 +142,69 @@ def _regrouped(batches, kinds) -> Iterator[list[np.ndarray]]:
 
 @lean
 def _anchor_rows(batches, width, anchor, buckets):
-    """Every anchor and the row that has it, by bucket of the anchor."""
+    """Every distinct anchor of a chunk, with its occurrences there and one row that has it, by bucket of the anchor.
+
+    An anchor that occurs twice in a chunk recurs whatever the others hold: all its rows are marked
+    here, by bucket of the row behind those.  So a bucket gets an anchor once from each chunk at most.
+    """
     for part, words in _parts(batches):
         starts, at, grams = _window_anchors(words.hashes(), words.bounds, width, anchor)
         if not len(starts):
             continue
         where = np.flatnonzero(np.bincount(at))
         rows = _row_keys(part.column("text"))[np.searchsorted(words.bounds, where, side="right") - 1]
-        yield _grouped(bucket_of(grams[where], buckets), grams[where], rows)
+        found = grams[where]
+        order = np.argsort(found, kind="stable")
+        found, rows = found[order], rows[order]
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        count = np.diff(np.append(first, len(found)))
+        yield _grouped(bucket_of(found[first], buckets), found[first], rows[first], count.astype(np.uint64))
+        again = np.repeat(count > 1, count)
+        if again.any():
+            yield _grouped(buckets + bucket_of(rows[again], buckets), rows[again], found[again])
 
 
 @lean
 def _recurring_rows(batches, buckets, crowd):
-    """Anchors that occur at least twice and whether they are crowded, by bucket of the row."""
-    for anchor, row in _regrouped(batches, (np.uint64, np.uint64)):
-        order = np.lexsort((row, anchor))
-        anchor, row = anchor[order], row[order]
+    """(row, anchor that occurs at least twice) by bucket of the row, and the crowded anchors."""
+    for bucket, (one, two, n) in _regrouped(batches):
+        if bucket >= buckets:
+            yield _grouped(np.full(len(one), bucket - buckets), one, two)
+            continue
+        order = np.argsort(one, kind="stable")
+        anchor, row, n = one[order], two[order], n[order].astype(np.int64)
         start = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-        count = np.diff(np.append(start, len(anchor)))
-        count = np.repeat(count, count)
-        keep = (count > 1) & np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))
+        total = np.add.reduceat(n, start)
+        keep = np.repeat(total, np.diff(np.append(start, len(anchor)))) > 1
         if keep.any():
-            yield _grouped(bucket_of(row[keep], buckets), row[keep], anchor[keep], (count[keep] > crowd).astype(np.uint8))
+            yield _grouped(bucket_of(row[keep], buckets), row[keep], anchor[keep])
+        crowded = anchor[start[total > crowd]]
+        if len(crowded):
+            yield _grouped(np.full(len(crowded), _CROWDED), crowded)
 
 
 @lean
 def _known_rows(batches):
-    """(row, recurring anchors, crowded ones among them)."""
-    for row, anchor, crowded in _regrouped(batches, (np.uint64, np.uint64, np.uint8)):
-        order = np.argsort(row, kind="stable")
-        row, anchor, crowded = row[order], anchor[order], crowded[order]
+    """(row, recurring anchors)."""
+    for _, (row, anchor, _) in _regrouped(batches):
+        order = np.lexsort((anchor, row))
+        row, anchor = row[order], anchor[order]
+        once = np.append(True, (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]))
+        row, anchor = row[once], anchor[once]
         start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        bounds = np.append(start, len(row))
-        yield pa.RecordBatch.from_arrays([pa.array(row[start].view(np.int64)), pieces(anchor, bounds), pieces(crowded, bounds)], ["row", "anchors", "crowded"])
+        yield pa.RecordBatch.from_arrays([pa.array(row[start].view(np.int64)), pieces(anchor, np.append(start, len(row)))], ["row", "anchors"])
+
+
+_SEGMENTS = "key long, segment binary, n long, rows array<long>, firsts array<int>"
 
 
 @lean
-def _segment_rows(batches, width, anchor):
-    """(key, segment, occurrences, rows, first words) of every stretch whose anchor recurs, equal ones of a chunk together."""
+def _segment_rows(batches, width, anchor, crowds):
+    """(key, segment, occurrences, rows, first words) of every stretch whose anchor recurs, equal ones of a chunk together.
+
+    A segment that a chunk holds twice recurs as a whole: one place of it goes on, and the others pass
+    through as cuts already (segment null, ``n`` words each), dealt by themselves.
+    """
     for part, words in _parts(batches):
         starts, at, grams = _window_anchors(words.hashes(), words.bounds, width, anchor)
         if not len(starts):
@@ -179,13 +212,10 @@ def _segment_rows(batches, width, anchor):
         edges = _runs(starts, at)
         first = edges[:-1]
         own = grams[at[first]]
-        known = np.frombuffer(b"".join(part.column("anchors").to_pylist()), np.uint64)
-        crowds = np.frombuffer(b"".join(part.column("crowded").to_pylist()), np.uint8)
-        known, where = np.unique(known, return_index=True)
-        place = np.searchsorted(known, own)
-        place[place == len(known)] = 0
+        known = np.unique(np.frombuffer(b"".join(part.column("anchors").to_pylist()), np.uint64))
+        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
         hit = np.flatnonzero(known[place] == own)
-        crowded = crowds[where][place] > 0
+        crowded = np.isin(own, crowds.value)
         line = " ".join(words.array.to_pylist()).encode("utf-8", "surrogatepass")
         offset = np.frombuffer(words.array.buffers()[1], np.int32, len(words) + 1).astype(np.int64) + np.arange(len(words) + 1)
         row_at = np.searchsorted(words.bounds, starts[first], side="right") - 1
@@ -202,11 +232,16 @@ def _segment_rows(batches, width, anchor):
                 held = found.setdefault((key, text), [0, {}])
                 held[0] += 1
                 held[1][row, s - base] = None
-        if found:
-            places = [list(v[1]) for v in found.values()]
-            bounds = pa.array(np.append(0, np.cumsum([len(p) for p in places])).astype(np.int32))
-            cols = [pa.array([k for k, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary()), pa.array([v[0] for v in found.values()], pa.int64())]
-            cols += [pa.ListArray.from_arrays(bounds, pa.array([x[i] for p in places for x in p], t)) for i, t in ((0, pa.int64()), (1, pa.int32()))]
+        out = []
+        for (key, text), (n, where) in found.items():
+            places = list(where)
+            out.append((key, text, n, places[:1]))
+            if len(places) > 1:
+                out.append((xxhash.xxh3_64_intdigest(text, seed=places[1][0] & 0xFFFFFFFF) >> 1, None, text.count(b" ") + 1, places[1:]))
+        if out:
+            bounds = pa.array(np.append(0, np.cumsum([len(o[3]) for o in out])).astype(np.int32))
+            cols = [pa.array([o[i] for o in out], t) for i, t in ((0, pa.int64()), (1, pa.binary()), (2, pa.int64()))]
+            cols += [pa.ListArray.from_arrays(bounds, pa.array([x[i] for o in out for x in o[3]], t)) for i, t in ((0, pa.int64()), (1, pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, ["key", "segment", "n", "rows", "firsts"])
 
 
@@ -308,6 +343,12 @@ def _located_rows(batches, width, limit):
 
     for batch in batches:
         for k, segment, n, rows, firsts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if segment is None:
+                out += ((r, f, f + n) for r, f in zip(rows, firsts, strict=True))
+                if len(out) > 20_000:
+                    yield flush(out)
+                    out = []
+                continue
             if k != key or segment != text:
                 close()
                 if k != key and shard.words >= limit:
@@ -378,12 +419,15 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 def located(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
     """``(row, first, end)``: stretches of words to remove, by row number (see ``_row_keys``)."""
     texts = docs.select("text")
-    buckets = max(1, math.ceil((texts.agg(F.sum(F.length("text"))).first()[0] or 0) / BUCKET_CHARS))
-    anchors = texts.mapInArrow(functools.partial(_anchor_rows, width=width, anchor=anchor, buckets=buckets), "bucket long, a binary, b binary")
-    recurring = anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(functools.partial(_recurring_rows, buckets=buckets, crowd=CROWD), "bucket long, a binary, b binary, c binary")
-    known = recurring.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_known_rows, "row long, anchors binary, crowded binary")
-    marked = _numbered(texts, "row").join(known, "row").select("row", "text", "anchors", "crowded")
-    segments = marked.mapInArrow(functools.partial(_segment_rows, width=width, anchor=anchor), "key long, segment binary, n long, rows array<long>, firsts array<int>")
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets, crowd = max(1, math.ceil(size / BUCKET_CHARS)), max(CROWD, size >> 20)
+    anchors = texts.mapInArrow(functools.partial(_anchor_rows, width=width, anchor=anchor, buckets=buckets), _PACKED)
+    recurring = materialize(anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(functools.partial(_recurring_rows, buckets=buckets, crowd=crowd), _PACKED), "recurring")
+    crowded = recurring.where(F.col("bucket") == _CROWDED).select("a").collect()  # fewer than 2 ** 20 anchors
+    crowds = docs.sparkSession.sparkContext.broadcast(np.unique(np.frombuffer(b"".join(bytes(r.a) for r in crowded), np.uint64)))
+    known = recurring.where(F.col("bucket") != _CROWDED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_known_rows, "row long, anchors binary")
+    marked = _numbered(texts, "row").join(known, "row").select("row", "text", "anchors")
+    segments = marked.mapInArrow(functools.partial(_segment_rows, width=width, anchor=anchor, crowds=crowds), _SEGMENTS)
     sharded = segments.repartition("key").sortWithinPartitions("key", "segment")
     return sharded.mapInArrow(functools.partial(_located_rows, width=width, limit=AUTOMATON_WORDS), "row long, first int, end int")
 
