@@ -126,7 +126,8 @@ def norm_circuit(c: Column) -> Column:
 
 def norm_string(s: Column) -> Column:
     """Trimmed, lower case, white space collapsed."""
-    return collapse(F.lower(strip(s)))
+    plain = ~s.rlike(r"[^\x21-\x7E ]|  ")  # printable ASCII with single blanks, as nearly all are
+    return F.when(plain, F.lower(F.trim(s))).otherwise(collapse(F.lower(strip(s))))
 
 
 def to_list(v: Column, is_array: bool = False) -> Column:

@@ -35,8 +35,7 @@ def overturn_rate(judges: DataFrame, cases: DataFrame, months: int = 3) -> DataF
 
     ``judges(judge_id, promotion_date)``, one row per judge; a null disposition counts as overturned.
     """
-    j = judges.select(to_long(F.col("judge_id")).alias("judge_id"), F.add_months("promotion_date", -months).alias("cutoff"), "promotion_date")
-    j = j.withColumn("cutoff", F.expr(f"promotion_date - interval {int(months)} months")).drop("promotion_date")
+    j = judges.select(to_long(F.col("judge_id")).alias("judge_id"), F.expr(f"promotion_date - interval {int(months)} months").alias("cutoff"))
     c = cases.select(to_long(F.col("district_judge_id")).alias("judge_id"), F.col("decision_date"), (F.coalesce(F.lower("opinion"), F.lit("")) != "affirmed").alias("over"), "unique_id")
     counted = c.join(j, "judge_id").where("decision_date is not null and (cutoff is null or decision_date <= cutoff)").groupBy("judge_id").agg(F.count("unique_id").alias("appealed"), F.count_if("over").alias("overturned"))
     out = j.select("judge_id").join(counted, "judge_id", "left").fillna(0, ["appealed", "overturned"])

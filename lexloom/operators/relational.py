@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import pinned
+
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key by ``order``; null keys form a group of their own."""
@@ -62,9 +64,10 @@ def row_numbers(df: DataFrame, order: list[str], name: str = "row_id") -> DataFr
     """Consecutive numbers from 0 in ``order`` without a single-task sort.
 
     Rows are range-partitioned and sorted; each partition's number of rows, added up, is where
-    the next one starts.  The partition table has one row per partition.
+    the next one starts.  The partition table has one row per partition.  Rows and their partitions
+    are written down once, since a second reading may draw other borders.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = pinned(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     local = Window.partitionBy("_part").orderBy(*order)
     numbered = ranged.withColumn("_local", F.row_number().over(local) - 1)
     sizes = numbered.groupBy("_part").count()

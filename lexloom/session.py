@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "lexloom", **conf: str) -> SparkSession:
@@ -17,3 +19,17 @@ def session(app: str = "lexloom", **conf: str) -> SparkSession:
     for key, value in (defaults | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder that ``spark.checkpoint.dir`` names; a temporary one only where all runs on one machine."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="lexloom-checkpoints-")
+        context.setCheckpointDir(root)
+    return df.checkpoint()
