@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import fresh_name
 from .wordtools import Words, chunks, mix64
 from .workers import lean
 
@@ -275,4 +276,5 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents predicted toxic; same columns."""
     model = fit(docs, labels)
-    return score(docs, model, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    name = fresh_name("toxicity", docs.columns)
+    return score(docs, model, name).where(F.col(name) < 0.5).drop(name)

@@ -58,3 +58,35 @@ def test_every_prefix_of_the_result_has_the_shares_of_the_mix(spark, tmp_path):
             break
     else:
         raise AssertionError("src0 never ran out")
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(40))
+    near = " ".join(f"n{i}" for i in range(60))
+    own = [" ".join(f"{x}{i}" for i in range(20)) for x in "ab"]
+    rows = [
+        (1, near, "en", "src0"), (2, near + " more", "en", "src0"), (3, f"{passage} {own[0]}", None, None), (4, f"{own[1]} {passage}", "fr", "nobody"), (5, None, None, None), (6, "", "en", "src1"),
+        (7, "one text", "en", "src1"), (7, "another text", "en", "src1"), (7, "another text", "en", "src1"), (None, "no id", "en", "src2"), (None, None, None, None), (8, "long " * 50_000 + "end", "en", "src10"),
+    ]
+    names = ["position", "row", "firsts", "ends", "slot", "stream", "k1", "k2", "verdict", "toxicity", "node", "place"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *names) for r in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    at = docs
+    for name, stage in P.STAGES[:-1]:
+        at = materialize(stage(spark, at, str(tmp_path)), name)
+        assert at.dtypes == docs.dtypes and all(tuple(r[n] for n in names) == tuple(names) for r in at.collect())
+    left = sorted(((r.doc_id, r.text) for r in at.collect()), key=str)
+    want = [(1, near), (3, own[0]), (4, own[1]), (5, None), (6, ""), (7, "one text"), (7, "another text"), (None, "no id"), (None, None), (8, "")]
+    assert [(d, t if d != 8 else "") for d, t in left] == sorted(want, key=str)
+    got = P.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in want) and len({r.position for r in got}) == len(want)
+    assert all((r.n_tokens == 0) == (not r.ids) for r in got)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = P.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "position", "n_tokens", "ids"] and got.collect() == []
