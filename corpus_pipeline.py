@@ -6,6 +6,13 @@ byte-level BPE (token ids, each document with its position in the mix).
 
 The order of rows in files is not kept by later reads and shuffles, so the mix is the column
 ``position`` of the result: sorted by it, every prefix has the target shares of the sources.
+
+Every row is a document of its own: rows that share an id are judged by their texts, and rows with
+a null id stay rows with a null id.  Null and empty texts pass all stages and have no tokens; null
+sources share one stream of the mix; null languages and lengths pass by.  Very long texts are read
+whole.  Of equal texts one stays, the one with the smallest id.  Extra columns go through the
+filtering stages whatever their names.  An empty table gives an empty result, and without labels
+nothing is rejected.
 """
 
 from __future__ import annotations
