@@ -103,6 +103,11 @@ def to_long(x: Column) -> Column:
     return x.cast("string").try_cast("double").try_cast("bigint")
 
 
+def to_time(x: Column) -> Column:
+    """Date or time of a date, time or text column; null for what cannot be read as one."""
+    return x.cast("string").try_cast("timestamp")
+
+
 def canon(s: Column) -> Column:
     """Only the letters a-z, lower case; null gives ''."""
     return F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), "[^a-z]", "")

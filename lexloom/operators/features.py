@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rulings import us_support
-from ..functions.text import norm_string, to_list, to_long
+from ..functions.text import norm_string, to_list, to_long, to_time
 from .relational import first_per
 
 APPELLATE = "appeal|circuit"
@@ -20,7 +20,7 @@ def promotion_info(appointments: DataFrame) -> DataFrame:
     kind = F.lower("court_type")
     upper = kind.rlike(APPELLATE)
     per = appointments.groupBy("judge_id").agg(
-        F.max(kind.contains("district").cast("int")).alias("district"), F.coalesce(F.max(upper.cast("int")), F.lit(0)).alias("is_promoted"), F.min(F.when(upper, F.col("nomination_date").cast("string").try_cast("timestamp"))).alias("promotion_date")
+        F.max(kind.contains("district").cast("int")).alias("district"), F.coalesce(F.max(upper.cast("int")), F.lit(0)).alias("is_promoted"), F.min(F.when(upper, to_time(F.col("nomination_date")))).alias("promotion_date")
     )
     return per.where("district = 1").drop("district")
 
@@ -36,7 +36,7 @@ def overturn_rate(judges: DataFrame, cases: DataFrame, months: int = 3) -> DataF
     ``judges(judge_id, promotion_date)``, one row per judge; a null disposition counts as overturned.
     """
     j = judges.select(to_long(F.col("judge_id")).alias("judge_id"), F.expr(f"promotion_date - interval {int(months)} months").alias("cutoff"))
-    c = cases.select(to_long(F.col("district_judge_id")).alias("judge_id"), F.col("decision_date"), (F.coalesce(F.lower("opinion"), F.lit("")) != "affirmed").alias("over"), "unique_id")
+    c = cases.select(to_long(F.col("district_judge_id")).alias("judge_id"), to_time(F.col("decision_date")).alias("decision_date"), (F.coalesce(F.lower("opinion"), F.lit("")) != "affirmed").alias("over"), "unique_id")
     counted = c.join(j, "judge_id").where("decision_date is not null and (cutoff is null or decision_date <= cutoff)").groupBy("judge_id").agg(F.count("unique_id").alias("appealed"), F.count_if("over").alias("overturned"))
     out = j.select("judge_id").join(counted, "judge_id", "left").fillna(0, ["appealed", "overturned"])
     return out.withColumn("overturn_rate", F.when(F.col("appealed") > 0, F.col("overturned") / F.col("appealed")))

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_caption, split_caption
+from ..functions.text import normalize_caption, split_caption, to_time
 
 TERM = r"(?U)\b\w\w+\b"
 #: Scores are rounded to 12 digits, so a prefix must not be cut short by less than that.
@@ -90,10 +90,10 @@ def link_cases(
     ``cases(circuit, doc, ord, name, decision_date, is_appellate)``.  Captions with a connector
     compare both sides, each of which must reach ``side_threshold``; the others compare whole
     captions and get ``bonus``.  Scores must exceed ``cutoff``.  A trial case lies in the ``years``
-    before the appeal; a null date of the appeal accepts all.  Ties go to the lowest ``ord``, then
+    before the appeal; a null or unreadable date of the appeal accepts all.  Ties go to the lowest ``ord``, then
     to the smallest ``doc``.  ``normalize`` makes the text of a caption and ``analyze`` its terms.
     """
-    cases = cases.withColumn("parts", split_caption(F.col("name")))
+    cases = cases.withColumns({"parts": split_caption(F.col("name")), "decision_date": to_time(F.col("decision_date"))})
     district, appellate = cases.where("is_appellate = 0"), cases.where("is_appellate = 1")
     out = None
     for sided in (False, True):

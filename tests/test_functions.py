@@ -19,6 +19,12 @@ def test_normalize(spark, name, want):
     assert one(spark, text.normalize_caption(F.col("s")), s=name) == want
 
 
+@pytest.mark.parametrize("s,want", [("1999-02-03", "1999-02-03 00:00:00"), ("1999-02-03 04:05:06", "1999-02-03 04:05:06"), ("1999-02-30", None), ("soon", None), ("", None), (None, None)])
+def test_to_time(spark, s, want):
+    got = one(spark, text.to_time(F.col("s")), s=s)
+    assert (str(got) if got else None) == want
+
+
 @pytest.mark.parametrize(
     "name,want",
     [
