@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import courts, rulings, text
 from ..functions.unicode import ascii_fold, nfkd
 from ..operators import answers, features, linkage, relational, resolve, similarity
+from ..session import shared_folder
 from ..sources import files
 from ..sources.html import html_text
 from ..streaming.incremental import skip_seen
@@ -325,6 +327,19 @@ def court_filter(spark, sf_dir):
     return files.court_filter(n, ["Nation_1", "ION_7"]).select("n_nationkey", "court_name", flag.alias("is_appellate"))
 
 
+_LAKE = """SELECT CASE o_orderkey % 4 WHEN 0 THEN 'D. Delaware' WHEN 1 THEN 'Court of Appeals, Third Circuit' WHEN 2 THEN 'D. Maine' ELSE 'Court of Appeals of Kansas' END AS court_name,
+  'case ' || CAST(o_orderkey AS VARCHAR(20)) AS name, 'D' || CAST(o_orderkey AS VARCHAR(20)) AS docket_number, opinion_type, o_orderdate AS decision_date
+  FROM (SELECT *, 'Majority' AS opinion_type FROM orders UNION ALL SELECT *, 'dissent' FROM orders WHERE o_orderkey % 3 = 0)"""
+
+
+@query(f"SELECT name, docket_number, opinion_type, CASE WHEN court_name LIKE '%Kansas' THEN '10th' ELSE '3rd' END AS circuit, CASE WHEN court_name LIKE 'Court%' THEN 1 ELSE 0 END AS is_appellate FROM ({_LAKE}) WHERE court_name NOT LIKE '%Maine' AND NOT (court_name LIKE 'Court%' AND opinion_type = 'dissent')")
+def cases_of_circuits(spark, sf_dir):
+    """Two circuits read from a lake of opinions, one appellate case per docket."""
+    lake = f"{shared_folder(spark)}/lexloom/lake-{uuid.uuid4().hex}"
+    frame(spark, sf_dir, _LAKE).write.parquet(lake)
+    return files.read_cases(spark, lake, ["3rd", "10th"]).select("name", "docket_number", "opinion_type", "circuit", "is_appellate")
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{kind}', '{p}')" for c, pair in files.CIRCUITS.items() for kind, ps in zip(("appellate", "district"), pair, strict=True) for p in ps) + ") t(circuit, kind, court_pattern)")
 def circuit_dimension(spark, sf_dir):
     return files.circuit_table(spark)
@@ -337,7 +352,13 @@ def mapping_load(spark, sf_dir):
     return files.mapping_rows(o.select(F.to_json(F.create_map(F.concat(F.col("o_orderkey").cast("string"), F.lit(".0")), value)).alias("value")))
 
 
-@query()
+# Tags in a row part two text nodes, as one line break; the references are those that the pages have.
+_UNTAGGED = "regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\\b.*?</(script|style)>', '<x>', 'g'), '(?s)(<!--.*?-->|<[^>]*>)+', chr(10), 'g')"
+for _name, _char in (("copy", 169), ("middot", 183), ("quot", 34), ("lt", 60), ("gt", 62), ("amp", 38)):
+    _UNTAGGED = f"replace({_UNTAGGED}, '&{_name};', chr({_char}))"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_UNTAGGED}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM pages")
 def html_plain_text(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", html_text("html").alias("text"))
 

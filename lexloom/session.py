@@ -21,15 +21,21 @@ def session(app: str = "lexloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lexloom-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder that ``spark.checkpoint.dir`` names; a temporary one only where all runs on one machine."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """``df`` computed once and kept in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="lexloom-checkpoints-")
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
