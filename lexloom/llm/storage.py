@@ -7,26 +7,15 @@ so the loss of an executor costs a re-read and never a wrong or partial result.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables; set to a temporary one only where unset and all runs on one machine (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master.startswith("local-cluster") or not master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lexloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from ..session import shared_folder
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/lexloom/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/lexloom/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
