@@ -7,8 +7,8 @@ no candidates.  Captions with two sides must be similar on both, so their lists
 prefix term of each side.  Vectors travel with the list entries and every candidate is scored in
 full; nothing is approximate.
 
-Cases with equal captions and dates are compared once, and the one with the lowest order stands
-for the indexed ones.
+Equal captions are compared once; their dates come in afterwards.  Of indexed cases with equal
+captions and dates the one with the lowest order stands for all.
 """
 
 from __future__ import annotations
@@ -105,16 +105,19 @@ def link_cases(
         norms = indexed.select("circuit", "n", F.explode("norms").alias("norm")).groupBy("circuit", "norm").agg(F.sum("n").alias("n"))
         every = norms.select("circuit", "norm").unionByName(probes.select("circuit", F.explode("norms").alias("norm")))
         vecs = vectors(every, vocabulary(norms, max_df, min_df, analyze), side_threshold if sided else cutoff, analyze)
-        a, d = (_with_vectors(x, vecs, sides) for x in (probes, indexed))
+        a, d = (_with_vectors(x.select("circuit", "norms").distinct(), vecs, sides) for x in (probes, indexed))
         keys = [f"k{i}" for i in range(sides)]
-        b = d.select("circuit", *keys, "d_date", "best", *(F.col(f"v{i}").alias(f"d{i}") for i in range(sides)))
-        fits = F.expr(f"a_date is null or (d_date between a_date - interval {years} years and a_date)")
-        pairs = a.join(b, ["circuit", *keys]).where(fits).select("circuit", "norms", "a_date", "best", *(_dot(f"v{i}", f"d{i}").alias(f"s{i}") for i in range(sides)))
+        b = d.select("circuit", *keys, F.col("norms").alias("d_norms"), *(F.col(f"v{i}").alias(f"d{i}") for i in range(sides)))
+        similar = a.join(b, ["circuit", *keys]).select("circuit", "norms", "d_norms", *(_dot(f"v{i}", f"d{i}").alias(f"s{i}") for i in range(sides)))
         if sided:
-            pairs = pairs.where((F.col("s0") >= side_threshold) & (F.col("s1") >= side_threshold)).withColumn("score", (F.col("s0") + F.col("s1")) / 2)
+            similar = similar.where((F.col("s0") >= side_threshold) & (F.col("s1") >= side_threshold)).withColumn("score", (F.col("s0") + F.col("s1")) / 2)
         else:
-            pairs = pairs.withColumn("score", F.col("s0"))
-        found = pairs.where(F.col("score") > cutoff).groupBy("circuit", "norms", "a_date").agg(F.min(F.struct((-F.col("score")).alias("s"), "best")).alias("m"))
+            similar = similar.withColumn("score", F.col("s0"))
+        similar = similar.where(F.col("score") > cutoff).groupBy("circuit", "norms", "d_norms").agg(F.max("score").alias("score"))  # several keys may lead to a pair
+        dated = indexed.select("circuit", F.col("norms").alias("d_norms"), "d_date", "best")
+        fits = F.expr(f"a_date is null or (d_date between a_date - interval {years} years and a_date)")
+        pairs = probes.join(similar, ["circuit", "norms"]).join(dated, ["circuit", "d_norms"]).where(fits)
+        found = pairs.groupBy("circuit", "norms", "a_date").agg(F.min(F.struct((-F.col("score")).alias("s"), "best")).alias("m"))
         best = cited.alias("x").join(found.alias("y"), F.expr("x.circuit = y.circuit and x.norms = y.norms and x.a_date <=> y.a_date"))
         best = best.select("x.circuit", "a", F.col("m.best.doc").alias("d"), (F.lit(0.0 if sided else bonus) - F.col("m.s")).alias("score"))
         out = best if out is None else out.unionByName(best)
