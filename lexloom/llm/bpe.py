@@ -298,7 +298,8 @@ def _digest_rows(left: pa.Table, right: pa.Table, path: str) -> pa.Table:
     for doc, _, ids in _documents(left, right):
         docs.append(doc)
         lengths.append(len(ids))
-        ids_sha.append(hashlib.sha256(",".join(names.take(ids).to_pylist()).encode()).hexdigest())
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), names.take(ids)), ",")
+        ids_sha.append(hashlib.sha256(line[0].as_buffer()).hexdigest())
         text_sha.append(hashlib.sha256(_joined(decode_ids(ids, path))).hexdigest())
     return pa.table({"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
 
