@@ -216,7 +216,7 @@ def _segment_rows(batches, width, anchor, crowds):
         place = np.minimum(np.searchsorted(known, own), len(known) - 1)
         hit = np.flatnonzero(known[place] == own)
         crowded = np.isin(own, crowds.value)
-        line = " ".join(words.array.to_pylist()).encode("utf-8", "surrogatepass")
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.array), " ")[0].as_buffer().to_pybytes()
         offset = np.frombuffer(words.array.buffers()[1], np.int32, len(words) + 1).astype(np.int64) + np.arange(len(words) + 1)
         row_at = np.searchsorted(words.bounds, starts[first], side="right") - 1
         rows, begin = part.column("row").to_numpy(zero_copy_only=False), words.bounds[row_at]
