@@ -19,6 +19,8 @@ with the smallest hash is learnt from.  Very long texts are read whole.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,7 +105,7 @@ class _Sparse:
         while start < rows:  # a million entries at once
             stop = min(rows, max(start + 1, int(np.searchsorted(first, first[start] + (1 << 20), side="right")) - 1))
             a, b = first[start], first[stop]
-            out[start:stop] = _segment_sums(x[cols[a:b]] * values[a:b], first[start : stop + 1] - a)
+            out[start:stop] = _segment_sums(np.take(x, cols[a:b], axis=0) * values[a:b], first[start : stop + 1] - a)
             start = stop
         return out
 
@@ -152,29 +154,33 @@ def _bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return own.astype(np.int32), np.bincount(where, weights=np.repeat(part, size)).astype(np.float32)
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 0) -> Model:
+def train(texts: Iterable[str | None], labels: Iterable[int], epochs: int = EPOCHS, seed: int = 0) -> Model:
     """Fit n-gram vectors and softmax together (Adam on the whole sample).
 
     Averaging words that average their n-grams is one sparse product, documents by n-grams.
     N-grams of fewer than ``LEAST_DOCUMENTS`` whole documents get no vector; pieces don't count.
-    Vectors of rare n-grams decay (``RARE_DECAY``).
+    Vectors of rare n-grams decay (``RARE_DECAY``).  Texts are read one by one and not held: a document
+    is its bag from then on, and a clean one ``PIECES`` short pieces.
     """
-    if len(set(labels)) < 2:
-        return Model(np.zeros(BUCKETS), -60.0)
     rng = np.random.default_rng(seed)
-    whole = len(texts)
-    texts = texts + [p for t, x in zip(texts, labels, strict=True) if not x for p in _pieces(t, rng)]
-    y = np.array(labels + [0] * (len(texts) - whole), dtype=np.int64)
     bags: list[tuple[np.ndarray, np.ndarray]] = []
     held = np.zeros(BUCKETS, np.int32)
-    for i, text in enumerate(texts):
-        bag = _bag(text)
-        if i < whole:
-            held[bag[0]] += 1
-        else:  # all whole documents are counted by now
-            bag = tuple(x[held[bag[0]] >= LEAST_DOCUMENTS] for x in bag)
-        bags.append(bag)
+    seen: list[int] = []
+    pieces: list[str] = []
+    for text, label in zip(texts, labels, strict=True):
+        bags.append(_bag(text))
+        held[bags[-1][0]] += 1
+        seen.append(label)
+        if not label:
+            pieces += _pieces(text, rng)
+    if len(set(seen)) < 2:
+        return Model(np.zeros(BUCKETS), -60.0)
+    whole = len(seen)
+    y = np.array(seen + [0] * len(pieces), dtype=np.int64)
     often = held >= LEAST_DOCUMENTS
+    for text in pieces:
+        bag = _bag(text)
+        bags.append(tuple(x[often[bag[0]]] for x in bag))
     used = np.flatnonzero(often)
     if not len(used):
         return Model(np.zeros(BUCKETS), 0.0)
@@ -241,12 +247,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
 @lean
 def _train_rows(batches):
     """The model of all rows of the bounded sample, trained in one task."""
-    texts, labels = [], []
-    for batch in batches:
-        texts += batch.column("text").to_pylist()
-        labels += batch.column("toxic").to_pylist()
-    if labels:
-        m = train(texts, labels)
+    batches = (b.slice(i, 1) for b in batches for i in range(b.num_rows))
+    first = next(batches, None)
+    if first is not None:
+        texts, labels = itertools.tee(itertools.chain([first], batches))  # read in step
+        m = train((b.column("text")[0].as_py() for b in texts), (b.column("toxic")[0].as_py() for b in labels))
         yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([m.bias], pa.float64())], ["weights", "bias"])
 
 
