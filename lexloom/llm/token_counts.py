@@ -11,7 +11,8 @@ are ``[^\\x20\\x09-\\x0D]+``, lower-cased.  Each task counts every distinct word
 once and multiplies out, so there is no shuffle and no state grows with the input.
 
 Null and empty texts have no words and no tokens; repeated rows are counted alike; extra
-columns are ignored; an empty table gives an empty result.  Words of any length are read whole.
+columns are ignored; an empty table gives an empty result.  Very long texts and words of any length are read
+whole.  There are no ties: the longest piece is one piece.
 """
 
 from __future__ import annotations
