@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.courts import extract_court, extract_judge, mentions_trial_court
 from ..functions.text import canon, split_name, strip, to_long
