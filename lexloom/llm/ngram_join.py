@@ -402,18 +402,18 @@ class _Heavy:
         split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         return known.join(split, "key")
 
-    def links(self, links: DataFrame) -> DataFrame:
-        """``links`` and as many links of heavy sets as join their components."""
+    def labels(self, links: DataFrame) -> DataFrame:
+        """Components of all sets that link, by ``links`` of light sets and as many of heavy sets as join them."""
         rows = self.lists.withColumn("comp", F.col("node"))
         for turn in range(HEAD_ROUNDS + 1):
             used = None
             if turn:
                 labels = components(links)
                 used = rows = materialize(self.split(labels), "split")
-                discard(labels)
                 if rows.isEmpty():
-                    discard(used)
-                    break
+                    discard(used, links)
+                    return labels
+                discard(labels)
             pairs = self.heads(rows, turn) if turn < HEAD_ROUNDS else self.rest(rows)
             if turn == 0:  # the head that a set shares most lists with; later rounds look at the others
                 best = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).groupBy("x").agg(F.max(F.struct("n", "y")).alias("h"))
@@ -422,7 +422,9 @@ class _Heavy:
             discard(used)
             old, links = links, materialize(links.unionByName(fresh), "links")
             discard(old, fresh)
-        return links
+        labels = components(links)
+        discard(links)
+        return labels
 
     def discard(self) -> None:
         discard(self.sets, self.lists)
@@ -445,10 +447,8 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``(doc_id, n_shingles, k1, k2, comp)`` of every row; sets with the same ``comp`` are one component, empty sets have none."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members, light, heavy = _started(docs, width, percent)
-    links = heavy.links(light)
+    labels = heavy.labels(light)
     heavy.discard()
-    labels = components(links)
-    discard(links)
     own = members.select("doc_id", "n_shingles", "k1", "k2")
     return own.join(labels, F.col("k1") == F.col("node"), "left").select(
         "doc_id", "n_shingles", "k1", "k2", F.when(F.col("n_shingles") > 0, F.struct(F.coalesce("component", "k1").alias("c"), F.when(F.col("component").isNull(), F.col("k2")).alias("t"))).alias("comp")
