@@ -366,7 +366,11 @@ def _pair(x: str, y: str) -> list:
 
 
 class _Heavy:
-    """Distinct sets that can have partners, and their inverted lists."""
+    """Distinct sets that can have partners, and their inverted lists.
+
+    What is found of each list (that it is shared or split, its head) is a table of its own and is
+    joined with the entries, so that Spark can split the join of a list that a third of all sets are in.
+    """
 
     def __init__(self, docs: DataFrame, members: DataFrame, width: int, percent: int, least: int):
         self.percent = percent
@@ -379,28 +383,40 @@ class _Heavy:
         counted = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(functools.partial(_recurring_rows, buckets=buckets), _PACKED)
         self.sets = materialize(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(functools.partial(_set_rows, percent=percent), _SETS), "sets")
         entries = _lists(self.sets, percent)
-        shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        self.spare: list[DataFrame] = []
+        shared = self.kept(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
         self.lists = materialize(entries.join(shared, "key"), "lists")
+        self.clear()
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table until ``clear``."""
+        self.spare.append(materialize(df, "kept"))
+        return self.spare[-1]
+
+    def clear(self) -> None:
+        discard(*self.spare)
+        self.spare = []
 
     def heads(self, rows: DataFrame, turn: int) -> DataFrame:
         """Pairs of the members of each list with its head, of another component (``comp``)."""
         rank = F.col("place") / F.col("size") if turn == 0 else F.xxhash64("node", F.lit(turn))
         fields = ["node", "size", "own", "place", "b0", "b1", "b2", "b3", "comp"]
         head = rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), *fields)).alias("h")).select("key", *(F.col(f"h.{f}").alias(f) for f in fields))
+        head = self.kept(head)
         return rows.alias("x").join(head.alias("y"), F.expr(f"x.key = y.key and x.comp <> y.comp and {_fits(self.percent)}")).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
 
     def rest(self, rows: DataFrame) -> DataFrame:
         """Pairs of the members of each list outside its largest component with all of another component."""
         per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
         most = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("most"))
-        few = rows.join(most, "key").where("comp <> most").drop("most")
+        few = self.kept(rows.join(self.kept(most), "key").where("comp <> most").drop("most"))
         return few.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key and x.comp <> y.comp and {_fits(self.percent)}")).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
 
     def split(self, labels: DataFrame) -> DataFrame:
         """Entries of the lists whose members lie in different components."""
         known = self.lists.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        return known.join(split, "key")
+        return known.join(self.kept(split), "key")
 
     def labels(self, links: DataFrame) -> DataFrame:
         """Components of all sets that link, by ``links`` of light sets and as many of heavy sets as join them."""
@@ -410,6 +426,7 @@ class _Heavy:
             if turn:
                 labels = components(links)
                 used = rows = materialize(self.split(labels), "split")
+                self.clear()
                 if rows.isEmpty():
                     discard(used, links)
                     return labels
@@ -420,6 +437,7 @@ class _Heavy:
                 pairs = best.select("x", F.col("h.y").alias("y"))
             fresh = materialize(_linked(pairs.select(*_pair("x", "y")).distinct(), self.sets, self.percent), "links")
             discard(used)
+            self.clear()
             old, links = links, materialize(links.unionByName(fresh), "links")
             discard(old, fresh)
         labels = components(links)
