@@ -223,38 +223,44 @@ def _token_rows(batches, width, buckets, least, common):
 
 
 def _by_bucket(batches) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(bucket, [node and size of each item, token bytes, ranks]) of rows sorted by bucket."""
-    held: list[tuple] = []
+    """(bucket, [node and size of each run, run of each item, token bytes, ranks]) of rows sorted by bucket.
+
+    Rows stay where Arrow has them until their bucket is complete, and are let go before it is used.
+    """
+    held: list[list] = []
     now = None
 
     def whole():
         nodes, sizes, counts = (np.concatenate([np.frombuffer(r[i], t) for r in held]) for i, t in ((0, np.uint64), (1, np.int32), (2, np.int32)))
-        items = [np.repeat(nodes, counts), np.repeat(sizes, counts), np.frombuffer(b"".join(r[3] for r in held), np.uint8)]
-        return now, [*items, np.frombuffer(b"".join(r[4] or b"" for r in held), np.int64)]
+        run = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
+        return now, [nodes, sizes, run, np.frombuffer(b"".join(r[3] for r in held), np.uint8), np.frombuffer(b"".join(r[4] for r in held if r[4] is not None), np.int64)]
 
     for batch in batches:
-        for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        buckets = batch.column(0).to_pylist()
+        for i, b in enumerate(buckets):
             if b != now and held:
-                yield whole()
-                held = []
+                out, held = whole(), []
+                yield out
+                del out
             now = b
-            held.append(tuple(row))
+            held.append([c[i].as_buffer() if c[i].is_valid else None for c in batch.columns[1:]])
     if held:
-        yield whole()
+        out, held = whole(), []
+        yield out
 
 
 @lean
 def _recurring_rows(batches, buckets):
     """N-grams that at least two sets have, with their rank (frequency), by bucket of the node."""
-    for bucket, (node, size, raw, rank) in _by_bucket(batches):
+    for bucket, (nodes, sizes, run, raw, rank) in _by_bucket(batches):
         if bucket >= buckets:  # common ones; copies of a set came from several chunks
-            token = raw.view(np.uint64)
+            token, node, size = raw.view(np.uint64), nodes[run], sizes[run]
             order = np.lexsort((token, node))
             node, size, token, rank = node[order], size[order], token[order], rank[order]
             once = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
             yield _packed(np.full(int(once.sum()), bucket - buckets), node[once], size[once], token[once], rank[once])
             continue
-        wide = np.zeros((len(node), 8), np.uint8)
+        wide = np.zeros((len(run), 8), np.uint8)
         wide[:, :TOKEN_BYTES] = raw.reshape(-1, TOKEN_BYTES)
         token = wide.reshape(-1).view(np.uint64)
         del wide, raw
@@ -263,7 +269,8 @@ def _recurring_rows(batches, buckets):
         order = order[np.append(same, False) | np.append(False, same)]
         if not len(order):
             continue
-        token, node, size = token[order], node[order], size[order]
+        token, run = token[order], run[order]
+        node, size = nodes[run], sizes[run]
         order = np.lexsort((node, token))
         token, node, size = token[order], node[order], size[order]
         once = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))  # copies in other chunks
@@ -286,8 +293,8 @@ _SETS = "node long, size int, own int, b0 long, b1 long, b2 long, b3 long, grams
 @lean
 def _set_rows(batches, percent):
     """Sets that can have a partner: their shared n-grams from rare to common, the number of unshared ones, parities of hash classes."""
-    for _, (node, size, raw, rank) in _by_bucket(batches):
-        token = raw.view(np.uint64)
+    for _, (nodes, sizes, run, raw, rank) in _by_bucket(batches):
+        token, node, size = raw.view(np.uint64), nodes[run], sizes[run]
         order = np.lexsort((token, rank, node))
         token, node, size = token[order], node[order], size[order]
         start = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
