@@ -22,15 +22,28 @@ def resolve_judges(named: DataFrame, judges: DataFrame) -> DataFrame:
     )
     parts = split_name(F.col("judge"))
     n = named.withColumn("_p", parts).select("*", F.lower("_p.last").alias("district_judge"), canon(F.col("_p.last")).alias("last_key"), canon(F.col("_p.first")).alias("first_key"), canon(F.col("court")).alias("court_key")).drop("_p")
-    pairs = n.where("last_key <> ''").select("case_id", "last_key", "first_key", "court_key").join(j, "last_key")
-    first = (F.col("first_key") != "") & (F.col("j_first") == F.col("first_key"))
-    court = (F.col("court_key") != "") & (F.col("j_court") != "") & (F.contains("j_court", "court_key") | F.contains("court_key", "j_court"))
-    pick = lambda cond: F.min(F.when(cond, F.struct("ord", "jid")))["jid"]
-    found = pairs.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n_last"), F.count_if(first).alias("n_first"), F.count_if(first & court).alias("n_both"), F.count_if(court).alias("n_court"),
-        pick(F.lit(True)).alias("one"), pick(first).alias("by_first"), pick(first & court).alias("by_both"), pick(court).alias("by_court"),
-    )
-    jid = F.when(F.col("n_last") == 1, F.col("one")).when(F.col("n_first") == 1, F.col("by_first")).when((F.col("n_first") > 1) & (F.col("n_both") >= 1), F.col("by_both")).when(F.col("n_court") == 1, F.col("by_court"))
+    # Cases and judges meet as distinct names and courts with their counts: no row is made for each case and judge.
+    j = j.where("last_key <> ''").groupBy("last_key", "j_first", "j_court").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("ord", "jid")).alias("least"))
+    keys = ["last_key", "first_key", "court_key"]
+    wanted = n.where("last_key <> ''").select(*keys).distinct()
+
+    def counted(names: str, first: bool, court: bool) -> DataFrame:
+        """Per distinct name (and court) of the cases: judges' rows, and the first of them."""
+        on = ["last_key", *(["first_key"] if first else [])]
+        mine = j.where("j_first <> ''").withColumnRenamed("j_first", "first_key") if first else j
+        out = [F.sum("rows").alias(f"n_{names}"), F.min("least").alias(f"by_{names}")]
+        if not court:
+            return mine.groupBy(*on).agg(*out)
+        hit = (F.col("court_key") != "") & (F.col("j_court") != "") & (F.contains("j_court", "court_key") | F.contains("court_key", "j_court"))
+        mine = mine.groupBy(*on, "j_court").agg(F.sum("rows").alias("rows"), F.min("least").alias("least"))
+        return wanted.select(*on, "court_key").distinct().join(mine, on).where(hit).groupBy(*on, "court_key").agg(*out)
+
+    found = wanted
+    for name, first, court in (("last", False, False), ("first", True, False), ("both", True, True), ("court", False, True)):
+        found = found.join(counted(name, first, court), ["last_key", *(["first_key"] if first else []), *(["court_key"] if court else [])], "left")
+    names = ["last", "first", "both", "court"]
+    found = n.select("case_id", *keys).join(found, keys).groupBy("case_id").agg(*(F.sum(f"n_{x}").alias(f"n_{x}") for x in names), *(F.min(f"by_{x}")["jid"].alias(f"by_{x}") for x in names))
+    jid = F.when(F.col("n_last") == 1, F.col("by_last")).when(F.col("n_first") == 1, F.col("by_first")).when((F.col("n_first") > 1) & (F.col("n_both") >= 1), F.col("by_both")).when(F.col("n_court") == 1, F.col("by_court"))
     out = n.join(found.select("case_id", jid.alias("district_judge_id")), "case_id", "left")
     return out.drop("last_key", "first_key", "court_key")
 
