@@ -13,7 +13,7 @@ from ..functions.unicode import ascii_fold, nfkd
 from ..operators import answers, features, linkage, relational, resolve, similarity
 from ..session import shared_folder
 from ..sources import files
-from ..sources.html import html_text
+from ..sources.html import html_text_closed
 from ..streaming.incremental import skip_seen
 from . import views
 from .views import CASES, CITES, JUDGES, RESPONSES_DUCK, cases, cites, frame, judges, responses
@@ -360,7 +360,7 @@ for _name, _char in (("copy", 169), ("middot", 183), ("quot", 34), ("lt", 60), (
 
 @query(f"SELECT page_id, trim(regexp_replace({_UNTAGGED}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM pages")
 def html_plain_text(spark, sf_dir):
-    return _read(spark, sf_dir, "pages").select("page_id", html_text("html").alias("text"))
+    return _read(spark, sf_dir, "pages").select("page_id", html_text_closed("html").alias("text"))
 
 
 @query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150 AND user_id IS NOT NULL) OR user_id IS NULL")
