@@ -16,6 +16,9 @@ REPLACEMENTS = [
     (r"\bh/?w\b", "spouse"), (r"\bhis wife\b", "spouse"), (r"\bhusband\b", "spouse"), (r"\bwife\b", "spouse"), (r"\bcompany\b", "corp"),
     (r"\bcorporation\b", "corp"), (r"\bco\b", "corp"), (r"\binc\.?\b", "corp"), (r"\bltd\.?\b", "corp"), (r"\bllc\.?\b", "corp"), ("&", "and"),
 ]
+#: ASCII letters and digits, and marks between words that no replacement takes.
+PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "
+MARKS = "-#,.'()"
 CONNECTOR = r"\b(vs?\.?)\b"
 SPLIT_CONNECTOR = r"(?i)^(.*)\s+(?:v(?:\.|s\.?)?|versus)\s+(.*)$"
 DOCKET_TAG = r"\b[Nn]os?\.\s*"
@@ -40,7 +43,17 @@ def collapse(c: Column) -> Column:
 
 def normalize_caption(name: Column) -> Column:
     """Caption for fuzzy matching: connector, punctuation and stopwords go; null and blank give ''."""
-    x = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "(?U)" + CONNECTOR, " ")
+    given = F.coalesce(name, F.lit(""))
+    words = F.filter(F.split(F.translate(F.lower(given), MARKS, " " * len(MARKS)), " "), lambda t: ~t.isin(["", "v", "vs", *STOPWORDS]))
+    same = lambda t: F.when(t.isin("company", "corporation", "co", "inc", "ltd", "llc"), "corp").when(t.isin("hw", "husband", "wife"), "spouse").otherwise(t)
+    # Other characters, or a replacement that could run into the next word (translate is far quicker than a class of characters).
+    unusual = (F.translate(given, PLAIN + MARKS, "") != "") | given.rlike(r"\.[A-Za-z0-9]") | F.contains(F.lower(given), F.lit("his wife"))
+    return F.when(unusual, normalize_any(given)).otherwise(F.array_join(F.transform(words, same), " "))
+
+
+def normalize_any(name: Column) -> Column:
+    """``normalize_caption`` for any text, replacement by replacement."""
+    x = F.regexp_replace(F.lower(name), "(?U)" + CONNECTOR, " ")
     for pattern, by in REPLACEMENTS:
         x = F.regexp_replace(x, "(?U)" + pattern, by)
     x = F.regexp_replace(x, r"(?U)[^\w\s]", " ")
@@ -49,10 +62,11 @@ def normalize_caption(name: Column) -> Column:
 
 def split_caption(name: Column) -> Column:
     """``struct(left, right)`` around the rightmost connector, lower case; both null if there is none."""
-    s = collapse(strip(name))
-    left, right = (strip(F.lower(F.regexp_extract(s, SPLIT_CONNECTOR, i))) for i in (1, 2))
-    found = (left != "") & (right != "")
-    return F.struct(F.when(found, left).alias("left"), F.when(found, right).alias("right"))
+    plain = ~name.rlike(r"[^\x21-\x7E ]|  ")
+    s = F.when(plain, F.trim(name)).otherwise(collapse(strip(name)))
+    sides = F.transform(F.array(s), lambda x: F.struct(*(F.trim(F.lower(F.regexp_extract(x, SPLIT_CONNECTOR, i))).alias(side) for i, side in enumerate(("left", "right"), 1))))
+    none = F.lit(None).cast("string")
+    return F.coalesce(F.get(F.filter(sides, lambda p: (p["left"] != "") & (p["right"] != "")), F.lit(0)), F.struct(none.alias("left"), none.alias("right")))
 
 
 def docket_tokens(s: Column) -> Column:
