@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import courts, rulings, text
 from ..functions.unicode import ascii_fold, nfkd
 from ..operators import answers, features, linkage, relational, resolve, similarity
-from ..session import shared_folder
+from ..session import shared_folder, staged
 from ..sources import files
 from ..sources.html import html_text_closed
 from ..streaming.incremental import skip_seen
@@ -580,5 +580,5 @@ def link_confirmed(spark, sf_dir):
 
 @query(f"WITH {_ACCEPTED} SELECT c.unique_id, CAST(d AS BIGINT) AS district_uid, t.opinion_author_id AS district_judge_id FROM ok JOIN v_case c ON c.unique_id = a JOIN v_case t ON t.unique_id = d WHERE (band = 'high' OR confirm_reason IS NOT NULL) AND t.opinion_author_id IS NOT NULL")
 def case_linking(spark, sf_dir):
-    c = cases(spark, sf_dir).withColumn("opinion_author_clean", F.col("opinion_author_raw"))
-    return linkage.attach_trial_judge(c, linkage.run_linking(c)).select("unique_id", "district_uid", "district_judge_id")
+    c = staged(cases(spark, sf_dir), "cases").withColumn("opinion_author_clean", F.col("opinion_author_raw"))
+    return linkage.attach_trial_judge(c, staged(linkage.run_linking(c), "accepted")).select("unique_id", "district_uid", "district_judge_id")
