@@ -575,7 +575,7 @@ def tfidf_link(spark, sf_dir):
 
 @query(f"WITH {_ACCEPTED} SELECT a, d, score, band, confirm_reason FROM ok WHERE band = 'high' OR confirm_reason IS NOT NULL")
 def link_confirmed(spark, sf_dir):
-    return linkage.run_linking(cases(spark, sf_dir)).select("a", "d", F.round("score", 6).alias("score"), "band", "confirm_reason")
+    return linkage.run_linking(staged(cases(spark, sf_dir), "cases")).select("a", "d", F.round("score", 6).alias("score"), "band", "confirm_reason")
 
 
 @query(f"WITH {_ACCEPTED} SELECT c.unique_id, CAST(d AS BIGINT) AS district_uid, t.opinion_author_id AS district_judge_id FROM ok JOIN v_case c ON c.unique_id = a JOIN v_case t ON t.unique_id = d WHERE (band = 'high' OR confirm_reason IS NOT NULL) AND t.opinion_author_id IS NOT NULL")
