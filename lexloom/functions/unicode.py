@@ -4,18 +4,34 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+import pyarrow as pa
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType, StringType
 
+from .batches import each
 
-@pandas_udf(StringType())
-def nfkd(s: pd.Series) -> pd.Series:
+
+def decomposed(x: str | None) -> str:
+    return unicodedata.normalize("NFKD", x or "").replace("\u00a0", " ").strip()
+
+
+def folded(x: str | None) -> str:
+    return unicodedata.normalize("NFKD", x or "").replace("–", "-").replace("—", "-").replace("\u00a0", " ").encode("ascii", "ignore").decode("ascii")
+
+
+@arrow_udf(StringType())
+def nfkd(s: pa.Array) -> pa.Array:
     """NFKD, no-break space as space, trimmed; null gives ''."""
-    return s.map(lambda x: unicodedata.normalize("NFKD", x or "").replace(" ", " ").strip())
+    return each(s, decomposed, pa.string())
+
+
+@arrow_udf(LongType())
+def nfkd_size(s: pa.Array) -> pa.Array:
+    """Length of ``nfkd`` in code points; the text itself stays in its batch."""
+    return each(s, lambda x: len(decomposed(x)), pa.int64())
 
 
-@pandas_udf(StringType())
-def ascii_fold(s: pd.Series) -> pd.Series:
+@arrow_udf(StringType())
+def ascii_fold(s: pa.Array) -> pa.Array:
     """NFKD, dashes as '-', and only ASCII kept; null gives ''."""
-    return s.map(lambda x: unicodedata.normalize("NFKD", x or "").replace("–", "-").replace("—", "-").replace(" ", " ").encode("ascii", "ignore").decode("ascii"))
+    return each(s, folded, pa.string())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import courts, rulings, text
-from ..functions.unicode import ascii_fold, nfkd
+from ..functions.unicode import ascii_fold, nfkd_size
 from ..operators import answers, features, linkage, relational, resolve, similarity
 from ..session import shared_folder, staged
 from ..sources import files
@@ -314,7 +314,7 @@ def ascii_text(spark, sf_dir):
 @query()
 def nfkd_length(spark, sf_dir):
     """Length of every text after decomposition."""
-    return _read(spark, sf_dir, "documents").select("doc_id", F.length(nfkd("text")).cast("long").alias("n"))
+    return _read(spark, sf_dir, "documents").select("doc_id", nfkd_size("text").alias("n"))
 
 
 # ---------------------------------------------------------------- scans
